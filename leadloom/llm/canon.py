@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.text import folded
+from leadloom.llm.text import folded, let
+from leadloom.shared import cut_lineage
 
 #: The least similarity of a match.
 LEAST = 0.5
@@ -52,8 +53,7 @@ def _tokens(c: Column) -> Column:
         F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))),
         F.transform(F.sequence(F.lit(2), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(1))),
     )))
-    ordered = F.sort_array(parts)
-    return F.transform(ordered, lambda t, i: F.concat(t, F.lit("#"), (i - F.array_position(ordered, t) + 2).cast("string")))
+    return let(F.sort_array(parts), lambda ordered: F.transform(ordered, lambda t, i: F.concat(t, F.lit("#"), (i - F.array_position(ordered, t) + 2).cast("string"))))
 
 
 def _forms(df: DataFrame, value: str) -> DataFrame:
@@ -81,8 +81,8 @@ def match_values(typed: DataFrame, canon: DataFrame, least: float = LEAST) -> Da
     matched once. Empty tables give an empty result.
     """
     values = typed.filter("kind is not null and value is not null").select("kind", "value").distinct()
-    left = _forms(values, "value")
-    right = _forms(canon.filter("name is not null").select("kind", "canon_id", "name").distinct(), "name").select("kind", "canon_id", "form", "tokens", "n").dropDuplicates(["kind", "canon_id", "form"])
+    left = cut_lineage(_forms(values, "value"))  # read three times; distinct values only
+    right = cut_lineage(_forms(canon.filter("name is not null").select("kind", "canon_id", "name").distinct(), "name").select("kind", "canon_id", "form", "tokens", "n").dropDuplicates(["kind", "canon_id", "form"]))
     counts = (
         left.select("kind", F.explode("tokens").alias("token")).unionByName(right.select("kind", F.explode("tokens").alias("token")))
         .groupBy("kind", "token").agg(F.count("*").alias("df"))
@@ -95,10 +95,15 @@ def match_values(typed: DataFrame, canon: DataFrame, least: float = LEAST) -> Da
         a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.token") == F.col("b.token"))
                & (n >= F.lit(least) * m) & (m >= F.lit(least) * n)
                & (1 + F.least(n - 1 - F.col("a.at"), m - 1 - F.col("b.at")) >= needed))
-        .select(F.col("a.kind").alias("kind"), "value", F.col("a.form").alias("form"), "canon_id", F.col("b.form").alias("name_form")).distinct()
+        .select(F.col("a.kind").alias("kind"), "value", F.col("a.form").alias("form"), "canon_id", F.col("b.form").alias("name_form"), n.alias("n"), m.alias("m")).distinct()
     )
-    checked = pairs.withColumns({"x": _tokens(F.col("form")), "y": _tokens(F.col("name_form"))}).withColumn("common", F.size(F.array_intersect("x", "y")))
-    checked = checked.withColumn("similarity", F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).filter(F.col("similarity") >= least)
+    common = F.size(F.array_intersect("x", "y"))
+    checked = (
+        pairs.join(left.select("kind", "value", "form", F.col("tokens").alias("x")), ["kind", "value", "form"])
+        .join(right.select("kind", "canon_id", F.col("form").alias("name_form"), F.col("tokens").alias("y")), ["kind", "canon_id", "name_form"])
+        .select("kind", "value", "canon_id", "n", "m", common.alias("common"))
+    )
+    checked = checked.select("kind", "value", "canon_id", (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= least)
     best = F.max(F.struct(F.col("similarity"), (-F.col("canon_id")).alias("minus"))).alias("best")
     return checked.groupBy("kind", "value").agg(best).select("kind", "value", (-F.col("best.minus")).alias("canon_id"), F.col("best.similarity").alias("similarity"))
 

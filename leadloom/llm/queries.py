@@ -9,6 +9,23 @@ from leadloom.operators.packed_cells import CRITERIA_FIELDS, split_cells
 from leadloom.shared import table
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadloom.llm.linkage import lead_records, link, sheet_records
+
+    found = link(lead_records(table(spark, sf_dir, "audited_leads")), sheet_records(table(spark, sf_dir, "call_sheet")))
+    return found.select(F.col("left_id").alias("lead_id"), F.col("right_id").alias("sheet_id"), "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of audited_leads and call_sheet for the same business."""
+    return _linked(spark, sf_dir).select("lead_id", "sheet_id")
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with the model's confidence."""
+    return _linked(spark, sf_dir)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed countries, categories and each packed category with the entry of canon_list they mean."""
     from leadloom.llm.canon import canon_names, map_values
@@ -21,6 +38,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("criteria_id", "field_name", F.col("pos").cast("int").alias("pos"), F.col("canon_id").cast("int").alias("canon_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of batches 1 and later that repeat a row accepted before."""
+    from leadloom.llm.history import ledger_records, repeats
+
+    return repeats(ledger_records(table(spark, sf_dir, "permanent_leads"))).select(F.col("first_id").cast("int").alias("first_id"), F.col("dup_id").cast("int").alias("dup_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadloom.llm.bpe import encode_texts
 
@@ -46,5 +70,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels")).select("doc_id", "subject")
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p4_found": p4_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

@@ -18,3 +18,8 @@ def folded(c: Column) -> Column:
 
 def in_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def let(c: Column, use) -> Column:
+    """``use(c)`` with c evaluated once, also where it stands within a lambda."""
+    return F.element_at(F.transform(F.array(c), use), 1)
