@@ -45,6 +45,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(ledger_records(table(spark, sf_dir, "permanent_leads"))).select(F.col("first_id").cast("int").alias("first_id"), F.col("dup_id").cast("int").alias("dup_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of audited_leads rows whose addresses denote the same place."""
+    from leadloom.llm.address import same_places
+
+    return same_places(table(spark, sf_dir, "audited_leads")).select(F.col("a").alias("lead_id_a"), F.col("b").alias("lead_id_b"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadloom.llm.bpe import encode_texts
 
@@ -70,5 +77,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels")).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p4_found": p4_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p4_found": p4_found, "p5_found": p5_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
