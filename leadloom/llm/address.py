@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.text import folded, pinned
+from leadloom.llm.text import folded, in_array, pinned
 from leadloom.shared import cut_lineage
 
 #: Kinds of street and how they are written (fixed values).
@@ -95,13 +95,14 @@ def gazetteer(places: DataFrame) -> tuple[list[str], list[str]]:
     """
     total = places.count()
     least = max(TOWN_LEAST, int(total * TOWN))
-    parts = cut_lineage(_parts(places))
+    parts = _parts(places)
     often = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    kept = parts.join(often.select("part"), "part")
-    beside = kept.alias("x").join(kept.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.part") != F.col("y.part")))
-    rows = beside.groupBy(F.col("x.part").alias("part"), F.col("y.part").alias("other")).count().collect()
     names = {r.part for r in often.select("part").collect()}
     names = sorted(n for n in names if not any(f" {m} " in f" {n} " for m in names if m != n))  # groups run together without commas
+    # What stands beside what, within each address: no shuffle but of the counts.
+    kept = F.array_intersect(F.split("left", ", "), in_array(names) if names else F.array().cast("array<string>"))
+    beside = pinned(places.select("left"), {"p": kept}).filter("size(p) > 1").select("p", F.explode("p").alias("part")).select("part", F.explode("p").alias("other")).filter("part <> other")
+    rows = beside.groupBy("part", "other").count().collect()
     near: dict[str, dict[str, int]] = {n: {} for n in names}
     for r in rows:
         if r.part in near and r.other in near:
@@ -115,7 +116,8 @@ def gazetteer(places: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def located(places: DataFrame, towns: list[str]) -> DataFrame:
-    """Adds town: the one named in what is left of the address, also with typing errors; else null."""
+    """Adds town, as its number in ``towns``: the one named in what is left of the address, also with typing errors; else null. What is
+    left becomes a hash, to tell equal ones. Street kinds become numbers too: numbers are aggregated by hash, texts by sorting."""
     left = F.regexp_replace(F.col("left"), ",", "")
     known = F.array(*[F.lit(t) for t in towns]) if towns else F.array().cast("array<string>")
     spaced = F.concat(F.lit(" "), left, F.lit(" "))
@@ -126,7 +128,9 @@ def located(places: DataFrame, towns: list[str]) -> DataFrame:
     grams = F.concat(words, F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
     error = F.array_min(F.transform(F.flatten(F.transform(F.col("grams"), lambda g: F.transform(F.filter(known, lambda t: (F.abs(F.length(t) - F.length(g)) <= 2) & (F.length(g) >= 5) & (F.levenshtein(t, g) <= F.when(F.length(t) >= 8, 2).otherwise(F.when(F.length(t) >= 5, 2).otherwise(0)))), lambda t: F.struct(F.levenshtein(t, g).alias("d"), t.alias("t"))))), lambda x: x))["t"]
     missing = pinned(places.filter("named is null"), {"grams": F.array_distinct(grams)})
-    return places.filter("named is not null").withColumnRenamed("named", "town").drop("spaced").unionByName(pinned(missing, {"town": error}).drop("spaced", "grams", "named"))
+    done = places.filter("named is not null").withColumnRenamed("named", "town").drop("spaced").unionByName(pinned(missing, {"town": error}).drop("spaced", "grams", "named"))
+    number = lambda c, names: F.when(F.col(c).isNotNull(), F.array_position(in_array(names), F.col(c)).cast("int"))
+    return done.select("id", "number", F.coalesce("way", F.lit("")).alias("w"), "street", number("kind", list(KINDS)).alias("kind"), "post", number("town", towns or [""]).alias("town"), F.xxhash64("left").alias("left"))
 
 
 def _only(values: str) -> Column:
@@ -145,13 +149,17 @@ def by_postcode(places: DataFrame) -> DataFrame:
 
 def settled(places: DataFrame) -> DataFrame:
     """Kinds and towns that an address leaves out are filled in where all others of its number and street agree on one."""
-    by_street = places.groupBy("number", F.coalesce("way", F.lit("")).alias("w"), "street").agg(_only("kind").alias("only_kind"), _only("town").alias("only_town"))
-    out = places.withColumn("w", F.coalesce("way", F.lit(""))).join(by_street, ["number", "w", "street"])
-    out = out.withColumns({"kind": F.coalesce("kind", "only_kind"), "town": F.coalesce("town", "only_town")}).drop("only_kind", "only_town")
-    by_town = out.filter("town is not null").groupBy("number", "w", "street", "town").agg(_only("kind").alias("only_kind"))
-    out = out.join(by_town, ["number", "w", "street", "town"], "left").withColumn("kind", F.coalesce("kind", "only_kind")).drop("only_kind")
-    by_post = out.filter("post is not null").groupBy("number", "w", "street", "post").agg(_only("town").alias("only_town"))
-    return out.join(by_post, ["number", "w", "street", "post"], "left").withColumn("town", F.coalesce("town", "only_town")).drop("only_town")
+    by_street = places.groupBy("number", "w", "street").agg(_only("kind").alias("only_kind"), _only("town").alias("only_town"))
+    out = places.join(by_street, ["number", "w", "street"])
+    out = cut_lineage(out.withColumns({"kind": F.coalesce("kind", "only_kind"), "town": F.coalesce("town", "only_town")}).drop("only_kind", "only_town"))
+    lacking = (F.col("kind").isNull() & F.col("town").isNotNull()) | (F.col("town").isNull() & F.col("post").isNotNull())
+    some = out.filter(lacking).select("number", "w", "street").distinct()  # few: only these streets are looked at again
+    of_them = out.join(some, ["number", "w", "street"], "left_semi")
+    by_town = of_them.filter("town is not null").groupBy("number", "w", "street", "town").agg(_only("kind").alias("only_kind"))
+    by_post = of_them.filter("post is not null").groupBy("number", "w", "street", "post").agg(_only("town").alias("only_town"))
+    fixed = out.filter(lacking).join(by_town, ["number", "w", "street", "town"], "left").withColumn("kind", F.coalesce("kind", "only_kind")).drop("only_kind")
+    fixed = fixed.join(by_post, ["number", "w", "street", "post"], "left").withColumn("town", F.coalesce("town", "only_town")).drop("only_town")
+    return out.filter(~lacking).unionByName(fixed)
 
 
 def same_places(df: DataFrame, key: str = "lead_id", address: str = "address") -> DataFrame:
@@ -164,26 +172,27 @@ def same_places(df: DataFrame, key: str = "lead_id", address: str = "address") -
     """
     places = cut_lineage(parsed(df.filter(F.col(key).isNotNull() & F.col(address).isNotNull()), key, address))
     towns, _ = gazetteer(places)
-    done = settled(by_postcode(located(places, towns)))
+    found = cut_lineage(located(places, towns))
+    done = settled(by_postcode(found))
     # Without a town, postcodes or what else is left must be equal.
-    done = cut_lineage(done.withColumn("town", F.coalesce("town", F.concat(F.lit("?"), F.coalesce("post", "left")))))
     cols = ["number", "w", "street", "kind", "town"]
-    classed = cut_lineage(done.select("id", F.xxhash64(*[F.coalesce(c, F.lit("?")) for c in cols]).alias("class"), *cols).distinct())
-    classes = cut_lineage(classed.groupBy("class").agg(*[F.first(c).alias(c) for c in cols]))
+    done = done.withColumn("town", F.coalesce(F.col("town").cast("bigint"), F.xxhash64(F.coalesce("post", F.lit("")), F.when(F.col("post").isNull(), F.col("left")))))
+    classed = cut_lineage(done.select("id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in cols]).alias("class"), *cols).distinct())
+    classes = classed.select("class", *cols).distinct()
     # Blocks: the digits and one rare word, or its beginning or end with the town.
     word = F.col("street")
     block = F.explode(F.array(F.xxhash64("number", F.lit(0), word), F.xxhash64("number", F.lit(1), "town", F.left(word, F.lit(3))), F.xxhash64("number", F.lit(2), "town", F.right(word, F.lit(3))))).alias("block")
     blocked = classes.select("*", block)
     x, y = blocked.alias("x"), blocked.alias("y")
     u, v = F.col("x.street"), F.col("y.street")
-    remaining = lambda s: F.array(F.col(f"{s}.street"), F.col(f"{s}.town"))
+    remaining = lambda s: F.array(F.col(f"{s}.street"), F.col(f"{s}.town").cast("string"))
     met = F.size(F.array_intersect(remaining("x"), remaining("y")))
     distance = F.levenshtein(u, v)
     close = (F.abs(F.length(u) - F.length(v)) <= 2) & (distance <= F.when(F.least(F.length(u), F.length(v)) >= 7, 2).otherwise(1))
     kinds = F.col("x.kind").eqNullSafe(F.col("y.kind")) | F.col("x.kind").isNull() | F.col("y.kind").isNull()
     accept = (F.col("x.w") == F.col("y.w")) & kinds & (F.col("x.town") == F.col("y.town")) & (met >= 1) & ((u == v) | close)
     pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.number") == F.col("y.number")) & (F.col("x.class") < F.col("y.class"))).filter(accept).select(F.col("x.class").alias("p"), F.col("y.class").alias("q")).distinct()
-    member = classed.select("id", "class").distinct()
-    within = member.alias("m").join(member.alias("n"), (F.col("m.class") == F.col("n.class")) & (F.col("m.id") < F.col("n.id"))).join(classes.select(F.col("class").alias("c")), F.col("m.class") == F.col("c"))
+    member = classed.select("id", "class")
+    within = member.alias("m").join(member.alias("n"), (F.col("m.class") == F.col("n.class")) & (F.col("m.id") < F.col("n.id")))
     across = pairs.join(member.select(F.col("class").alias("p"), F.col("id").alias("i")), "p").join(member.select(F.col("class").alias("q"), F.col("id").alias("j")), "q").filter("i <> j")
     return within.select(F.col("m.id").alias("a"), F.col("n.id").alias("b")).unionByName(across.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))).distinct()
