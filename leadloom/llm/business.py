@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.text import folded, in_array
+from leadloom.llm.text import folded, in_array, pinned
 
 #: Calling codes that are cut from international numbers (fixed values).
 CODES = "971|966|974|965|973|968|44|61|65|91|82|81|60|94|49|33|34|39|1"
@@ -67,13 +67,12 @@ def name_words(c: Column) -> Column:
 
 def prepare(df: DataFrame, key: str, name: str, phones: list[str], website: str, email: str) -> DataFrame:
     """(id, words, phones, web, mails, mail_host) of each row."""
-    mails = emails_of(F.col(email))
-    out = df.select(
-        F.col(key).alias("id"), name_words(F.col(name)).alias("words"),
-        F.array_sort(F.array_distinct(F.filter(F.array(*[phone_key(F.col(p)) for p in phones]), lambda x: x.isNotNull()))).alias("phones"),
-        host_of(F.col(website)).alias("web"), mails.alias("mails"),
-    )
-    return out.withColumn("mail_host", F.substring_index(F.try_element_at("mails", F.lit(1)), "@", -1))
+    raw = df.select(F.col(key).alias("id"), F.col(name).alias("n"), F.array(*[F.col(p) for p in phones]).alias("p"), F.col(website).alias("u"), F.col(email).alias("e"))
+    out = pinned(raw, {
+        "words": name_words(F.col("n")), "phones": F.array_sort(F.array_distinct(F.filter(F.transform(F.array_distinct("p"), phone_key), lambda x: x.isNotNull()))),
+        "web": host_of(F.col("u")), "mails": emails_of(F.col("e")),
+    })
+    return out.select("id", "words", "phones", "web", "mails", F.substring_index(F.try_element_at("mails", F.lit(1)), "@", -1).alias("mail_host"))
 
 
 def common_words(records: DataFrame) -> list[str]:
@@ -85,20 +84,24 @@ def common_words(records: DataFrame) -> list[str]:
 
 
 def host_kinds(records: DataFrame) -> DataFrame:
-    """(host, kind) of the platforms and chains, from all records; partial aggregation, so hot hosts cost nothing extra."""
-    both = records.select(F.col("web").alias("host"), "stem", "phones").unionByName(records.select(F.col("mail_host").alias("host"), "stem", "phones"))
-    seen = both.filter("host is not null").groupBy("host").agg(
-        F.approx_count_distinct(F.array_join("stem", " "), 0.03).alias("names"), F.approx_count_distinct(F.try_element_at("phones", F.lit(1)), 0.03).alias("lines")
-    )
+    """(host, kind) of the platforms and chains, from all records: distinct hashes of names and lines are counted, so that no host,
+    however hot, makes a large group."""
+    hashed = records.select("web", "mail_host", F.xxhash64("stem").alias("name"), F.xxhash64(F.try_element_at("phones", F.lit(1))).alias("line"), (F.size("phones") > 0).alias("some"))
+    seen = None
+    for host in ("web", "mail_host"):
+        for what, value in ((0, "name"), (1, "line")):
+            one = hashed.filter(F.col(host).isNotNull() & ((F.lit(what) == 0) | F.col("some"))).select(F.col(host).alias("host"), F.lit(what).alias("what"), F.col(value).alias("value"))
+            seen = one if seen is None else seen.unionByName(one)
+    seen = seen.distinct().groupBy("host").agg(F.count_if(F.col("what") == 0).alias("names"), F.count_if(F.col("what") == 1).alias("lines"))
     platform = (F.col("names") >= PLATFORM_NAMES) & (F.col("names") >= PLATFORM_SHARE * F.col("lines"))
     kind = F.when(platform, "platform").when(F.col("lines") >= CHAIN_LINES, "chain")
     return seen.select("host", kind.alias("kind")).filter("kind is not null")
 
 
 def classify(records: DataFrame, common: list[str]) -> DataFrame:
-    """Adds stem (words of its own) and rest (common words) to records."""
+    """Adds stem (words of its own, not common ones) to records."""
     known = in_array(common) if common else F.array().cast("array<string>")
-    return records.withColumns({"stem": F.array_except("words", known), "rest": F.array_intersect("words", known)})
+    return records.withColumn("stem", F.array_except("words", known))
 
 
 def with_hosts(records: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def same_business() -> Column:
     return same_line | no_line | ((phone == -1) & (moved | branch_moved))
 
 
-FEATURES = ("words", "stem", "rest", "phones", "hosts", "own_mails", "chain")
+FEATURES = ("words", "stem", "phones", "hosts", "own_mails", "chain")
 
 
 def sides(pairs: DataFrame, a: DataFrame, b: DataFrame, left: str = "a", right: str = "b", key: str = "id") -> DataFrame:
@@ -233,9 +236,10 @@ def lanes(records: DataFrame) -> DataFrame:
     return records.withColumn("fp", F.array(*[bits(p) for p in pieces])).drop("a_phone")
 
 
-def blocks(records: DataFrame) -> DataFrame:
+def entries(records: DataFrame) -> DataFrame:
     """(id, block, fp): the rotated block tables. A block is a hash of a table's number and its two lanes; one more table holds
     whole names with words of their own."""
+
     def block(n: int, x: int, y: int) -> Column:
         a, b = F.col("fp")[x], F.col("fp")[y]
         there = a.isNotNull() & b.isNotNull()
@@ -244,16 +248,27 @@ def blocks(records: DataFrame) -> DataFrame:
         return F.when(there, F.xxhash64(F.lit(n), a, b))
 
     tables = [block(n, x, y) for n, (x, y) in enumerate(PAIRS)] + [F.when(F.size("stem") > 0, F.xxhash64(F.lit(len(PAIRS)), F.array_join("words", " ")))]
-    return lanes(records).select("id", "fp", F.explode(F.filter(F.array(*tables), lambda b: b.isNotNull())).alias("block"))
-
+    return lanes(records).select("id", "fp", F.explode(F.array(*tables)).alias("block")).filter("block is not null")
 
-def bit_difference(a: Column, b: Column) -> Column:
-    """Differing bits over the lanes both fingerprints have."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0))), F.lit(0), lambda t, x: t + x)
 
-
-def shared_lanes(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x.isNotNull() & y.isNotNull()), lambda x: x))
-
-
-__all__ = ["blocks", "classify", "common_words", "evidence", "host_kinds", "prepare", "same_business", "sides", "with_hosts"]
+def blocks(records: DataFrame) -> DataFrame:
+    """The block tables with fingerprints in one number: eight bits of each lane, and a bit for each that is there."""
+    fp, packed = F.col("fp"), F.lit(0).cast("bigint")
+    for k in range(len(LANES)):
+        bits = F.shiftleft(fp[k].bitwiseAND(255).cast("bigint"), 8 * k) + F.lit(1 << (56 + k)).cast("bigint")
+        packed = packed + F.when(fp[k].isNotNull(), bits).otherwise(F.lit(0).cast("bigint"))
+    return entries(records).select("id", packed.alias("fp"), "block")
+
+
+def close_fingerprints(a: Column, b: Column) -> Column:
+    """At most half of the bits of the lanes both have differ: as many as between unrelated lanes alone, so equal ones must be there."""
+    both = F.shiftrightunsigned(a.bitwiseAND(b), 56)
+    mask, there = F.lit(0).cast("bigint"), F.lit(0)
+    for k in range(len(LANES)):
+        on = F.shiftright(both, k).bitwiseAND(1)
+        mask = mask + on * F.lit(255 << (8 * k)).cast("bigint")
+        there = there + on
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(mask)) <= 4 * there
+
+
+__all__ = ["blocks", "classify", "close_fingerprints", "common_words", "evidence", "host_kinds", "prepare", "same_business", "sides", "with_hosts"]

@@ -2,45 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.business import bit_difference, blocks, shared_lanes
+from leadloom.llm.business import blocks, close_fingerprints, entries
 from leadloom.shared import cut_lineage
 
 #: A block of more entries is split by each further lane of the fingerprint: records of one business share more than two lanes.
 HOT = 200
 #: Sub-groups of a block that stays hot after that; its entries are linked to their sub-group's first, those to the block's first.
 SALTS = 64
-#: The share of the bits that may differ: unrelated lanes differ in half of theirs, so a quarter of the lanes must be equal, nearly.
-DIFFERENT = 0.8
 
 
-def _near() -> Column:
-    a, b = F.col("x.fp"), F.col("y.fp")
-    return bit_difference(a, b) <= F.lit(DIFFERENT * 16) * shared_lanes(a, b)
+def _hot(some: DataFrame, most: int) -> DataFrame:
+    return some.groupBy("block").count().filter(F.col("count") > most).select("block")
 
 
-def _split_hot(entries: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of blocks that aren't hot, and those of hot ones under finer blocks."""
-    marked = entries.join(hot.withColumn("hot", F.lit(True)), "block", "left")
-    cold = marked.filter("hot is null").drop("hot")
-    finer = marked.filter("hot").select("*", F.posexplode("fp").alias("k", "lane")).filter("lane is not null")
-    return cold, finer.withColumn("block", F.xxhash64("block", "k", "lane")).drop("hot", "k", "lane")
-
-
-def _hot(entries: DataFrame, most: int) -> DataFrame:
-    return entries.groupBy("block").count().filter(F.col("count") > most).select("block")
+def _finer(records: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries of hot blocks under finer blocks: with each lane the record has besides."""
+    some = entries(records).join(hot, "block", "left_semi").select("id", "block", F.posexplode("fp").alias("k", "lane"))
+    return some.filter("lane is not null").select("id", F.xxhash64("block", "k", "lane").alias("block"))
 
 
 def pairs_between(left: DataFrame, right: DataFrame, most: int = HOT) -> DataFrame:
     """(a, b): records of two tables that share a block and differ in few bits, each pair once."""
     x, y = cut_lineage(blocks(left)), cut_lineage(blocks(right))
     hot = cut_lineage(_hot(x.select("block").unionByName(y.select("block")), most))
-    out = None
-    for p, q in zip(_split_hot(x, hot), _split_hot(y, hot), strict=True):
-        found = p.alias("x").join(q.alias("y"), F.col("x.block") == F.col("y.block")).filter(_near()).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        out = found if out is None else out.unionByName(found)
+    crowded = not hot.isEmpty()
+    p, q = (x.join(hot, "block", "left_anti"), y.join(hot, "block", "left_anti")) if crowded else (x, y)
+    p, q = p.alias("x"), q.alias("y")
+    out = p.join(q, F.col("x.block") == F.col("y.block")).filter(close_fingerprints(F.col("x.fp"), F.col("y.fp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if crowded:
+        p, q = _finer(left, hot).alias("x"), _finer(right, hot).alias("y")
+        out = out.unionByName(p.join(q, F.col("x.block") == F.col("y.block")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     return out.distinct()
 
 
@@ -52,19 +46,19 @@ def pairs_to_earlier(new: DataFrame, accepted: DataFrame, most: int = HOT) -> Da
     """
     x, y = cut_lineage(blocks(accepted)), cut_lineage(blocks(new))
     hot = cut_lineage(_hot(x, most))
-    cold_x, fine_x = _split_hot(x, hot)
-    cold_y, fine_y = _split_hot(y, hot)
-    fine_x, fine_y = cut_lineage(fine_x), cut_lineage(fine_y)
-    still = cut_lineage(_hot(fine_x, most))
+    crowded = not hot.isEmpty()
     later = (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))
-
-    def met(p: DataFrame, q: DataFrame) -> DataFrame:
-        return p.alias("x").join(q.alias("y"), later).filter(_near()).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    out = met(cold_x, cold_y).unionByName(met(fine_x.join(still, "block", "left_anti"), fine_y.join(still, "block", "left_anti")))
-    crowd = fine_x.join(still, "block", "left_semi").withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-    firsts = crowd.groupBy("block", "salt").agg(F.min("id").alias("first"))
-    first = firsts.groupBy("block").agg(F.min("first").alias("a"))
-    up = firsts.join(first, "block").select("a", F.col("first").alias("b"))
-    down = fine_y.join(still, "block", "left_semi").withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(firsts, ["block", "salt"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return out.unionByName(up.unionByName(down).filter("a < b")).distinct()
+    p, q = (x.join(hot, "block", "left_anti"), y.join(hot, "block", "left_anti")) if crowded else (x, y)
+    out = p.alias("x").join(q.alias("y"), later).filter(close_fingerprints(F.col("x.fp"), F.col("y.fp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if crowded:
+        fine_x, fine_y = cut_lineage(_finer(accepted, hot)), cut_lineage(_finer(new, hot))
+        still = cut_lineage(_hot(fine_x, most))
+        p, q = fine_x.join(still, "block", "left_anti").alias("x"), fine_y.join(still, "block", "left_anti").alias("y")
+        out = out.unionByName(p.join(q, later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        salt = F.pmod(F.hash("id"), F.lit(SALTS))
+        firsts = fine_x.join(still, "block", "left_semi").groupBy("block", salt.alias("salt")).agg(F.min("id").alias("first"))
+        first = firsts.groupBy("block").agg(F.min("first").alias("a"))
+        up = firsts.join(first, "block").select("a", F.col("first").alias("b"))
+        down = fine_y.join(still, "block", "left_semi").withColumn("salt", salt).join(firsts, ["block", "salt"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
+        out = out.unionByName(up.unionByName(down).filter("a < b"))
+    return out.distinct()

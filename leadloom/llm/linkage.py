@@ -19,6 +19,8 @@ from leadloom.shared import cut_lineage
 FUNCTIONS = ("phone", "host", "email", "own_name", "any_name", "branch", "line", "one_change")
 #: Functions of more than this mutual information given the truth are modelled jointly, at most so many together.
 DEPENDENT, TOGETHER = 0.03, 3
+#: Rows with equal compared columns from which they are judged as one.
+COPIES = 4
 #: Pairs of at least this confidence are matches.
 SURE = 0.5
 
@@ -119,11 +121,15 @@ def link(left: DataFrame, right: DataFrame, sure: float = SURE) -> DataFrame:
     """
     kept = ["words", "phones", "web", "mails", "mail_host"]
     some = "id is not null and (size(words) > 0 or size(phones) > 0 or web is not null or size(mails) > 0)"
-    both = cut_lineage(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).filter(some).withColumn("class", F.xxhash64(*kept, F.lit(1)).bitwiseXOR(F.shiftleft(F.xxhash64(F.lit(2), *kept), 1))))
+    both = cut_lineage(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).filter(some).withColumn("class", F.xxhash64(*kept)))
     common = B.common_words(both)
     kinds = cut_lineage(B.host_kinds(B.classify(both, common)))
-    each = both.groupBy("side", "class").agg(*[F.first(c).alias(c) for c in kept]).withColumnRenamed("class", "id")
-    full = cut_lineage(B.with_hosts(B.classify(each, common), kinds))
+    # Only what has many copies is collapsed: the rest are classes of one row.
+    many = both.groupBy("side", "class").count().filter(F.col("count") > COPIES).select("side", "class", F.lit(True).alias("many"))
+    both = both.join(many, ["side", "class"], "left").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(F.xxhash64("side", "id", "class")))
+    each = both.filter("many is null").unionByName(both.filter("many").dropDuplicates(["side", "class"]))
+    named = each.select("side", F.col("class").alias("id"), *kept)
+    full = cut_lineage(B.with_hosts(B.classify(named, common), kinds).select("side", "id", *B.FEATURES))
     a, b = full.filter("side = 0").drop("side"), full.filter("side = 1").drop("side")
     pairs = cut_lineage(pairs_between(a, b))
     sure_pairs = judged(B.sides(pairs, a, b)).filter(F.col("confidence") >= sure).select("a", "b", "confidence")

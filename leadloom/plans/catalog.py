@@ -1,18 +1,11 @@
-"""The core's queries and their SQL."""
+"""The core's queries and their SQL, gathered from the modules by area."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from leadloom.plans import filters, packed, records, scalars
 
-from leadloom.operators.packed_cells import CRITERIA_FIELDS, LEAD_FIELDS, split_cells
-from leadloom.shared import table
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value packed in a cell, with its place."""
-    leads = split_cells(table(spark, sf_dir, "audited_leads"), "lead_id", LEAD_FIELDS)
-    return leads.unionByName(split_cells(table(spark, sf_dir, "handyman"), "criteria_id", CRITERIA_FIELDS))
-
-
-QUERIES = {"p1_found": p1_found}
+QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (packed, scalars, filters, records):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
