@@ -58,7 +58,8 @@ def host_of(c: Column) -> Column:
 
 def name_words(c: Column) -> Column:
     """Words of a name without marks, legal forms and praise, as a sorted set."""
-    c = F.regexp_replace(folded(F.coalesce(c, F.lit(""))), "&(?:amp;)?", " and ")
+    c = F.coalesce(c, F.lit(""))
+    c = F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(F.lower(c)), "&(?:amp;)?", " and ")
     c = F.regexp_replace(c, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")
     c = F.regexp_replace(c, "['’`]", "")
     c = F.regexp_replace(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), PRAISE, " ")
@@ -213,13 +214,13 @@ def sides(pairs: DataFrame, a: DataFrame, b: DataFrame, left: str = "a", right:
 
 
 #: Pairs of lanes that make the block tables; those with both of host and mail, or both of host, don't hold in chains.
-LANES = ("prefixes", "phone_a", "phone_z", "host_a", "host_z", "mail_a", "mail_z")
+LANES = ("prefixes", "phone_a", "phone_z", "host_a", "host_z", "mail_a", "mail_z", "endings")  # the last is only compared, in no table
 PAIRS = [(0, k) for k in range(1, 7)] + [(1, 2), (5, 6), (3, 4)] + [(p, k) for p in (1, 2) for k in (3, 4, 5, 6)] + [(h, m) for h in (3, 4) for m in (5, 6)]
 OF_HOSTS = {(3, 4)} | {(h, m) for h in (3, 4) for m in (5, 6)}
 
 
 def lanes(records: DataFrame) -> DataFrame:
-    """Adds fp: the fingerprint of seven lanes of 32 bits, null where a detail is missing; and one row per further phone.
+    """Adds fp: the fingerprint of eight lanes of 32 bits, null where a detail is missing; and one row per further phone.
 
     Lanes are hashes of pieces (first and last letters or digits) of the details, so that a typing error changes the bits of one
     lane and leaves the others.
@@ -228,11 +229,14 @@ def lanes(records: DataFrame) -> DataFrame:
         return F.when(c.isNotNull() & (F.length(c) > 0), F.shiftright(F.xxhash64(c), 32).cast("int"))
 
     ends = lambda c, n: (F.left(c, F.lit(n)), F.right(c, F.lit(n)))
+    half = (F.length("a_phone") / 2).cast("int")
+    digits = (F.left("a_phone", half), F.right("a_phone", F.length("a_phone") - half))
     records = records.withColumn("a_phone", F.explode_outer("phones"))
     prefixes = F.array_join(F.array_distinct(F.array_sort(F.transform("words", lambda w: F.left(w, F.lit(2))))), " ")
+    endings = F.array_join(F.array_distinct(F.array_sort(F.transform("words", lambda w: F.right(w, F.lit(2))))), " ")
     host, box = _label(F.try_element_at("hosts", F.lit(1))), F.try_element_at(F.filter("own_mails", lambda m: ~m.rlike(SHARED_BOX)), F.lit(1))
     box = F.substring_index(box, "@", 1)
-    pieces = [prefixes, *ends(F.col("a_phone"), 4), *ends(host, 5), *ends(box, 4)]
+    pieces = [prefixes, *digits, *ends(host, 6), *ends(box, 5), endings]
     return records.withColumn("fp", F.array(*[bits(p) for p in pieces])).drop("a_phone")
 
 
@@ -252,23 +256,23 @@ def entries(records: DataFrame) -> DataFrame:
 
 
 def blocks(records: DataFrame) -> DataFrame:
-    """The block tables with fingerprints in one number: eight bits of each lane, and a bit for each that is there."""
+    """The block tables with fingerprints in one number: seven bits of each lane, and a bit for each that is there."""
     fp, packed = F.col("fp"), F.lit(0).cast("bigint")
     for k in range(len(LANES)):
-        bits = F.shiftleft(fp[k].bitwiseAND(255).cast("bigint"), 8 * k) + F.lit(1 << (56 + k)).cast("bigint")
-        packed = packed + F.when(fp[k].isNotNull(), bits).otherwise(F.lit(0).cast("bigint"))
+        bits = F.shiftleft(fp[k].bitwiseAND(127).cast("bigint"), 7 * k).bitwiseOR(F.shiftleft(F.lit(1).cast("bigint"), 56 + k))
+        packed = packed.bitwiseOR(F.when(fp[k].isNotNull(), bits).otherwise(F.lit(0).cast("bigint")))
     return entries(records).select("id", packed.alias("fp"), "block")
 
 
 def close_fingerprints(a: Column, b: Column) -> Column:
-    """At most half of the bits of the lanes both have differ: as many as between unrelated lanes alone, so equal ones must be there."""
-    both = F.shiftrightunsigned(a.bitwiseAND(b), 56)
-    mask, there = F.lit(0).cast("bigint"), F.lit(0)
+    """Of the lanes both have at least three are equal in all their bits, or at most two differ in any."""
+    both, apart = F.shiftrightunsigned(a.bitwiseAND(b), 56), a.bitwiseXOR(b)
+    there, differ = F.lit(0), F.lit(0)
     for k in range(len(LANES)):
-        on = F.shiftright(both, k).bitwiseAND(1)
-        mask = mask + on * F.lit(255 << (8 * k)).cast("bigint")
+        on = F.shiftright(both, k).bitwiseAND(1).cast("int")
         there = there + on
-    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(mask)) <= 4 * there
+        differ = differ + F.when(F.bit_count(F.shiftrightunsigned(apart, 7 * k).bitwiseAND(127)) > 0, on).otherwise(0)
+    return (there - differ >= 3) | (differ <= 2)
 
 
 __all__ = ["blocks", "classify", "close_fingerprints", "common_words", "evidence", "host_kinds", "prepare", "same_business", "sides", "with_hosts"]
