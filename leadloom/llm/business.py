@@ -18,8 +18,8 @@ CODES = "971|966|974|965|973|968|44|61|65|91|82|81|60|94|49|33|34|39|1"
 IDLE = (
     "the", "and", "of", "a", "ltd", "limited", "llc", "llp", "lllp", "inc", "incorporated", "corp", "co", "company", "pty", "pvt", "private", "pte", "plc", "gmbh", "fze", "fzc", "fzco", "fz", "wll", "ood", "sarl",
 )
-#: Praise that directories let owners put behind names.
-PRAISE = r"\b(?:official(?: site)?|open now|open 24 ?7|best in town|free quotes?|no call ?out fee|24 ?7|est \d{4}|since \d{4}|top rated|now hiring|near me)\b"
+#: Praise that directories let owners put behind names and a bar.
+PRAISE = r"\b(?:official(?: site)?|open now|open 24 ?7|best in town|free quotes?|no call ?-?out fee|24[ /]?7|est \d{4}|since \d{4}|top rated|now hiring|near me)\b"
 #: Local parts of shared mailboxes.
 SHARED_BOX = r"^(?:info|hello|office|team|support|contact|enquiries|enquiry|admin|service|services|bookings?|sales|billing|jobs|mail|hi|reception|accounts)\d*@"
 #: A host is a platform from so many names on, if they are at least this share of its lines; a chain from so many lines on.
@@ -59,11 +59,11 @@ def host_of(c: Column) -> Column:
 def name_words(c: Column) -> Column:
     """Words of a name without marks, legal forms and praise, as a sorted set."""
     c = F.coalesce(c, F.lit(""))
-    c = F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(F.lower(c)), "&(?:amp;)?", " and ")
-    c = F.regexp_replace(c, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")
-    c = F.regexp_replace(c, "['’`]", "")
-    c = F.regexp_replace(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), PRAISE, " ")
-    return F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: (w != "") & ~w.isin(*IDLE))))
+    c = F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(F.lower(c))
+    c = F.replace(F.replace(c, F.lit("&amp;"), F.lit(" and ")), F.lit("&"), F.lit(" and "))
+    c = F.translate(F.when(c.contains("."), F.regexp_replace(c, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")).otherwise(c), "'’`", "")
+    c = F.when(c.contains("|"), F.regexp_replace(F.regexp_replace(c, "[-.]", " "), PRAISE, " ")).otherwise(c)
+    return F.array_sort(F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*IDLE))))
 
 
 def prepare(df: DataFrame, key: str, name: str, phones: list[str], website: str, email: str) -> DataFrame:
@@ -91,7 +91,8 @@ def host_kinds(records: DataFrame) -> DataFrame:
     seen = None
     for host in ("web", "mail_host"):
         for what, value in ((0, "name"), (1, "line")):
-            one = hashed.filter(F.col(host).isNotNull() & ((F.lit(what) == 0) | F.col("some"))).select(F.col(host).alias("host"), F.lit(what).alias("what"), F.col(value).alias("value"))
+            once = F.lit(True) if host == "web" else ~F.col("mail_host").eqNullSafe(F.col("web"))
+            one = hashed.filter(F.col(host).isNotNull() & once & ((F.lit(what) == 0) | F.col("some"))).select(F.col(host).alias("host"), F.lit(what).alias("what"), F.col(value).alias("value"))
             seen = one if seen is None else seen.unionByName(one)
     seen = seen.distinct().groupBy("host").agg(F.count_if(F.col("what") == 0).alias("names"), F.count_if(F.col("what") == 1).alias("lines"))
     platform = (F.col("names") >= PLATFORM_NAMES) & (F.col("names") >= PLATFORM_SHARE * F.col("lines"))
@@ -130,13 +131,13 @@ def _close(x: Column, y: Column, most: int = 2) -> Column:
 
 
 def _lacking(a: Column, b: Column) -> Column:
-    """Words of a that b has neither as such, nor with a typing error, nor cut off or shortened."""
+    """Of a's words that b lacks, those that aren't near one of b's words that a lacks: mistyped, cut off or shortened."""
 
     def near(x: Column, y: Column) -> Column:
         error = (F.length(x) >= 4) & (F.length(y) >= 4) & _close(x, y)
         cut = F.startswith(y, x) & (F.length(x) <= 4)
         short = (F.length(x).between(3, 5)) & (F.length(y) > F.length(x) + 1) & (F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & F.rlike(y, F.array_join(F.split(x, ""), ".*"))
-        return (x == y) | error | cut | short
+        return error | cut | short
 
     return F.filter(a, lambda x: ~F.exists(b, lambda y: near(x, y) | near(y, x)))
 
@@ -148,8 +149,8 @@ def _label(host: Column) -> Column:
 
 def _met(a: Column, b: Column, close) -> Column:
     """1 where a value of a and one of b are equal or close, 0 where a side has none, else -1."""
-    some = F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | close(x, y)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(some, 1).otherwise(-1)
+    near = F.exists(a, lambda x: F.exists(b, lambda y: close(x, y)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.arrays_overlap(a, b), 1).when(near, 1).otherwise(-1)
 
 
 def evidence(pairs: DataFrame) -> DataFrame:
@@ -162,10 +163,11 @@ def evidence(pairs: DataFrame) -> DataFrame:
     digits = lambda x, y: (F.length(x) == F.length(y)) & _close(x, y, 1)
     hosts = lambda x, y: (F.length(_label(x)) >= 6) & _close(_label(x), _label(y), 1)
     boxes = lambda x, y: _close(F.substring_index(x, "@", 1), F.substring_index(y, "@", 1), 1) & ((F.substring_index(x, "@", -1) == F.substring_index(y, "@", -1)) | hosts(F.substring_index(x, "@", -1), F.substring_index(y, "@", -1)))
-    pairs = pairs.withColumns({
+    pairs = pinned(pairs, {"only_a": F.array_except("a_words", "b_words"), "only_b": F.array_except("b_words", "a_words")})
+    pairs = pinned(pairs, {
         "phone": _met(F.col("a_phones"), F.col("b_phones"), digits), "host": _met(F.col("a_hosts"), F.col("b_hosts"), hosts),
         "email": _met(F.col("a_own_mails"), F.col("b_own_mails"), boxes),
-        "lack_a": _lacking(F.col("a_words"), F.col("b_words")), "lack_b": _lacking(F.col("b_words"), F.col("a_words")),
+        "lack_a": _lacking(F.col("only_a"), F.col("only_b")), "lack_b": _lacking(F.col("only_b"), F.col("only_a")),
         "own_a": F.size("a_stem"), "own_b": F.size("b_stem"),
     })
     pairs = pairs.withColumns({
@@ -265,14 +267,17 @@ def blocks(records: DataFrame) -> DataFrame:
 
 
 def close_fingerprints(a: Column, b: Column) -> Column:
-    """Of the lanes both have at least three are equal in all their bits, or at most two differ in any."""
+    """Of the lanes both have at least three are equal in all their bits, or both of the phone or of the mailbox are, or at most two
+    lanes differ in any bit."""
     both, apart = F.shiftrightunsigned(a.bitwiseAND(b), 56), a.bitwiseXOR(b)
-    there, differ = F.lit(0), F.lit(0)
+    there, differ, lane = F.lit(0), F.lit(0), []
     for k in range(len(LANES)):
         on = F.shiftright(both, k).bitwiseAND(1).cast("int")
         there = there + on
-        differ = differ + F.when(F.bit_count(F.shiftrightunsigned(apart, 7 * k).bitwiseAND(127)) > 0, on).otherwise(0)
-    return (there - differ >= 3) | (differ <= 2)
+        other = F.bit_count(F.shiftrightunsigned(apart, 7 * k).bitwiseAND(127)) > 0
+        differ = differ + F.when(other, on).otherwise(0)
+        lane.append((on == 1) & ~other)
+    return (there - differ >= 3) | (differ <= 2) | (lane[1] & lane[2]) | (lane[5] & lane[6])
 
 
 __all__ = ["blocks", "classify", "close_fingerprints", "common_words", "evidence", "host_kinds", "prepare", "same_business", "sides", "with_hosts"]
