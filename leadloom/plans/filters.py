@@ -167,3 +167,12 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "audited_leads").groupBy("audit_status", "review_type").agg(
         F.count("*").alias("leads"), F.count_if(F.col("critical_issue_count") > 0).alias("critical"), F.round(F.avg("health_score"), 6).alias("mean_health"), F.max("lead_priority").alias("top_priority")
     )
+
+
+@query()
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every document read as a page; a tolerant HTML parse has no SQL, tests check it on written pages."""
+    from leadloom.functions import page as P
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html")).withColumn("f", P.page_facts("html"))
+    return docs.select("doc_id", F.length("f.text").alias("text_chars"), "f.h1_count", "f.structural_tags", F.size("f.hrefs").alias("links"), F.size(P.lead_forms(F.col("f.forms"))).alias("forms"), P.mixed_content(F.coalesce("html", F.lit(""))).alias("mixed"), P.js_shell(F.coalesce("html", F.lit("")), F.col("f")).alias("shell"))
