@@ -86,7 +86,10 @@ def test_label_model_recovers_accuracies():
     votes, index, counts = np.unique(np.stack(cols, 1), axis=0, return_inverse=True, return_counts=True)
     model = LabelModel().fit(votes, counts.astype(float), (votes.sum(1) > 0).astype(float))
     assert any({0, 4} <= set(c) for c in model.cliques)
-    assert ((model.confidence(votes)[index.ravel()] > 0.5) == truth).mean() > 0.9
+    # as right as the posterior from the true accuracies, within a hundredth
+    odds = np.log(0.3 / 0.7) + sum(c * np.log(acc / (1 - acc)) for c, acc in zip(cols, (0.9, 0.8, 0.85, 0.7), strict=False))
+    best = ((odds > 0) == truth).mean()
+    assert ((model.confidence(votes)[index.ravel()] > 0.5) == truth).mean() > best - 0.01
 
 
 CANON = [("country", 1, "United States"), ("country", 1, "USA"), ("country", 2, "Niger"), ("country", 3, "Nigeria"), ("cat", 4, "Home Handyman"), ("cat", 5, "Window cleaning"), ("cat", 6, "Window installation")]
@@ -140,7 +143,7 @@ def test_places(spark):
 
 def test_sentences_and_subjects(spark):
     assert sentences(None) == [] and sentences("  ") == []
-    assert len(sentences("Health score 3/9\nHIGH: The tap dripped. How do you fix it? Slowly.\n[Home] [Cars] [Salon]")) == 1 + 1 + 1
+    assert len(sentences("Health score 3/9\nHIGH: The tap dripped. How do you fix it? Slowly.\n[Home] [Cars] [Salon]")) == 2  # the question and its answer are one; the heading and the menu none
     m = Matcher()
     assert m.find("that idea went down the drain.") == [-1] and m.find("our neighbours do waxing; please do not ask us.") == [-1]
     docs = [
