@@ -91,12 +91,16 @@ def page(html: str | None) -> dict:
     return p.facts | {"text": " ".join(p.words)}
 
 
-@F.pandas_udf(SCHEMA)
-def page_facts(html: pd.Series) -> pd.DataFrame:
+def _facts(html: pd.Series) -> pd.DataFrame:
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     return pd.DataFrame([page(h) for h in html], columns=names)
 
 
+def page_facts(html: Column | str) -> Column:
+    """The struct of a page's facts. Made on call, as a session must be there."""
+    return F.pandas_udf(_facts, SCHEMA)(html)
+
+
 def internal_links(hrefs: Column, host: Column) -> Column:
     """Links of the page's own host or relative ones, each once, without fragments, mail and phone links."""
     real = F.filter(hrefs, lambda h: ~h.rlike(r"(?i)^\s*(?:mailto:|tel:|javascript:|#|$)"))
