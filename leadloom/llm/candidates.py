@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from leadloom.llm.business import blocks, close_fingerprints, entries
+from leadloom.llm.business import blocks, close_fingerprints, entries, evidence, same_business, sides
 from leadloom.shared import cut_lineage
 
-#: A block of more entries is split by each further lane of the fingerprint: records of one business share more than two lanes.
+#: A block of more entries is not joined at once: it is split by each further lane of the fingerprint (pairs_between) or gone
+#: through in steps (pairs_to_earlier).
 HOT = 200
-#: Sub-groups of a block that stays hot after that; its entries are linked to their sub-group's first, those to the block's first.
-SALTS = 64
+#: Each step through a hot block takes so many times the entries of the step before.
+GROWTH = 4
 
 
 def _hot(some: DataFrame, most: int) -> DataFrame:
@@ -38,11 +40,34 @@ def pairs_between(left: DataFrame, right: DataFrame, most: int = HOT) -> DataFra
     return out.distinct()
 
 
+def _first_in_hot(x: DataFrame, y: DataFrame, accepted: DataFrame, new: DataFrame, step: int) -> DataFrame:
+    """(a, b): for each new record of hot blocks the first record of these that it matches.
+
+    Blocks are gone through in the order of ids, a growing step at a time. A record leaves a block when that has no earlier record
+    than the first it matched; one that matches none meets the whole block.
+    """
+    ranked = cut_lineage(x.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("id"))))
+    left, done, best = y, 0, None
+    while True:
+        some = ranked.filter((F.col("rank") > done) & (F.col("rank") <= done + step)).select("block", F.col("id").alias("a"), F.col("fp").alias("fp_a"))
+        bound = left if best is not None else left.withColumn("most_a", F.col("id"))
+        met = some.join(bound.select("block", F.col("id").alias("b"), F.col("fp").alias("fp_b"), "most_a"), "block").filter((F.col("a") < F.col("most_a")) & close_fingerprints(F.col("fp_a"), F.col("fp_b")))
+        found = evidence(sides(cut_lineage(met.select("a", "b").distinct()), accepted, new)).filter(same_business()).select("a", "b")
+        best = cut_lineage((found if best is None else best.unionByName(found)).groupBy("b").agg(F.min("a").alias("a")))
+        done, step = done + step, step * GROWTH
+        after = ranked.filter(F.col("rank") == done + 1).select("block", F.col("id").alias("next_a"))
+        known = best.select(F.col("b").alias("id"), F.col("a").alias("best_a"))
+        left = left.select("id", "block", "fp").join(after, "block").join(known, "id", "left").withColumn("most_a", F.coalesce("best_a", "id")).filter("next_a < most_a")
+        left = cut_lineage(left.select("id", "block", "fp", "most_a"))
+        if left.isEmpty():
+            return best.select("a", "b")
+
+
 def pairs_to_earlier(new: DataFrame, accepted: DataFrame, most: int = HOT) -> DataFrame:
     """(a, b): for each new record b the accepted records a of smaller id that share a block with it and differ in few bits.
 
-    Within blocks that stay hot when split by a third lane, b is paired with the first of its sub-group, and that with the first
-    of the block: a chain of links instead of all pairs.
+    Of blocks with more than ``most`` accepted records only the first that b matches is given: the first over all pairs is the
+    same as if all were given.
     """
     x, y = cut_lineage(blocks(accepted)), cut_lineage(blocks(new))
     hot = cut_lineage(_hot(x, most))
@@ -51,14 +76,5 @@ def pairs_to_earlier(new: DataFrame, accepted: DataFrame, most: int = HOT) -> Da
     p, q = (x.join(hot, "block", "left_anti"), y.join(hot, "block", "left_anti")) if crowded else (x, y)
     out = p.alias("x").join(q.alias("y"), later).filter(close_fingerprints(F.col("x.fp"), F.col("y.fp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if crowded:
-        fine_x, fine_y = cut_lineage(_finer(accepted, hot)), cut_lineage(_finer(new, hot))
-        still = cut_lineage(_hot(fine_x, most))
-        p, q = fine_x.join(still, "block", "left_anti").alias("x"), fine_y.join(still, "block", "left_anti").alias("y")
-        out = out.unionByName(p.join(q, later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        salt = F.pmod(F.hash("id"), F.lit(SALTS))
-        firsts = fine_x.join(still, "block", "left_semi").groupBy("block", salt.alias("salt")).agg(F.min("id").alias("first"))
-        first = firsts.groupBy("block").agg(F.min("first").alias("a"))
-        up = firsts.join(first, "block").select("a", F.col("first").alias("b"))
-        down = fine_y.join(still, "block", "left_semi").withColumn("salt", salt).join(firsts, ["block", "salt"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
-        out = out.unionByName(up.unionByName(down).filter("a < b"))
+        out = out.unionByName(_first_in_hot(x.join(hot, "block", "left_semi"), y.join(hot, "block", "left_semi"), accepted, new, most))
     return out.distinct()

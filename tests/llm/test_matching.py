@@ -69,6 +69,24 @@ def test_copies_in_a_hot_block_are_all_linked(spark):
     assert linked == set(range(1, 60)) and few.count() < 60 * 59 / 2
 
 
+def crowd(n=14):
+    """Businesses of one hot block, each twice, with a typing error in name and phone: of their blocks only this one is common."""
+    word = lambda i: "ba" + "".join("bdfgklmnprstvz"[(i * k + k) % 14] * 2 for k in (3, 5, 9)) + "ta"
+    line = lambda i: f"{i + 10}{(i * 7 + 3) % 10}{(i * 3 + 1) % 10}"
+    one = [(i, f"Zetopogu Climate {word(i)}", f"+1 555 01{line(i)}1", None, None, False) for i in range(n)]
+    two = [(n + i, f"Zetopogu Climate {word(i)[:3]}x{word(i)[3:]}", f"+1 555 01{line(i)}7", None, None, True) for i in range(n)]
+    return one + two, {(i, n + i) for i in range(n)}
+
+
+def test_each_row_of_a_hot_block_finds_its_first(spark):
+    rows, want = crowd()
+    full = features(records(spark, rows)).cache()
+    for most in (5, 10**6):
+        pairs = pairs_to_earlier(full.filter("is_new"), full, most)
+        found = B.evidence(B.sides(pairs, full, full)).filter(B.same_business()).groupBy("b").agg(F.min("a").alias("a"))
+        assert {(r.a, r.b) for r in found.collect()} == want
+
+
 def test_link_and_confidence(spark):
     left = records(spark, BASE).drop("is_new")
     right = records(spark, [(100 + r[0], *r[1:]) for r in NEW]).drop("is_new")
