@@ -243,17 +243,20 @@ def lanes(records: DataFrame) -> DataFrame:
 
 
 def entries(records: DataFrame) -> DataFrame:
-    """(id, block, fp): the rotated block tables. A block is a hash of a table's number and its two lanes; one more table holds
-    whole names with words of their own."""
+    """(id, block, fp): the rotated block tables. A block is a hash of its table's two lanes, with the table's number as its last
+    five bits; one more table holds whole names with words of their own."""
+
+    def numbered(n: int, *parts: Column) -> Column:
+        return F.xxhash64(*parts).bitwiseAND(-32).bitwiseOR(n)
 
     def block(n: int, x: int, y: int) -> Column:
         a, b = F.col("fp")[x], F.col("fp")[y]
         there = a.isNotNull() & b.isNotNull()
         if (x, y) in OF_HOSTS:
             there &= ~F.col("chain")
-        return F.when(there, F.xxhash64(F.lit(n), a, b))
+        return F.when(there, numbered(n, a, b))
 
-    tables = [block(n, x, y) for n, (x, y) in enumerate(PAIRS)] + [F.when(F.size("stem") > 0, F.xxhash64(F.lit(len(PAIRS)), F.array_join("words", " ")))]
+    tables = [block(n, x, y) for n, (x, y) in enumerate(PAIRS)] + [F.when(F.size("stem") > 0, numbered(len(PAIRS), F.array_join("words", " ")))]
     return lanes(records).select("id", "fp", F.explode(F.array(*tables)).alias("block")).filter("block is not null")
 
 
@@ -266,6 +269,22 @@ def blocks(records: DataFrame) -> DataFrame:
     return entries(records).select("id", packed.alias("fp"), "block")
 
 
+#: By table, the lanes (as bits) that all entries of a block have in common; equal names have equal prefixes and endings.
+OWN = [1 << x | 1 << y for x, y in PAIRS] + [1 << 0 | 1 << 7]
+
+
+def own_lanes(block: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in OWN]), block.bitwiseAND(31).cast("int"))
+
+
+def equal_lanes(a: Column, b: Column) -> Column:
+    """The lanes, as bits, that two packed fingerprints both have and that are equal in all their bits."""
+    both, apart, out = F.shiftrightunsigned(a.bitwiseAND(b), 56).cast("int"), a.bitwiseXOR(b), F.lit(0)
+    for k in range(len(LANES)):
+        out = out.bitwiseOR(F.when(F.shiftrightunsigned(apart, 7 * k).bitwiseAND(127) == 0, both.bitwiseAND(1 << k)).otherwise(0))
+    return out
+
+
 def close_fingerprints(a: Column, b: Column) -> Column:
     """Of the lanes both have at least three are equal in all their bits, or both of the phone or of the mailbox are, or at most two
     lanes differ in any bit."""

@@ -1,16 +1,16 @@
-"""Candidate pairs from block tables, without all pairs of a hot block."""
+"""Candidate pairs from block tables: those that share a block and differ in few bits, whatever the size of the block."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leadloom.llm.business import blocks, close_fingerprints, entries, evidence, same_business, sides
+from leadloom.llm.business import LANES, blocks, close_fingerprints, equal_lanes, evidence, own_lanes, same_business, sides
 from leadloom.shared import cut_lineage
 
-#: A block of more entries is not joined at once: it is split by each further lane of the fingerprint (pairs_between) or gone
-#: through in steps (pairs_to_earlier).
+#: Blocks of more entries are not joined at once: they are split (pairs_between) or gone through in steps (pairs_to_earlier). This
+#: changes the work, not the result.
 HOT = 200
 #: Each step through a hot block takes so many times the entries of the step before.
 GROWTH = 4
@@ -20,14 +20,35 @@ def _hot(some: DataFrame, most: int) -> DataFrame:
     return some.groupBy("block").count().filter(F.col("count") > most).select("block")
 
 
-def _finer(records: DataFrame, hot: DataFrame) -> DataFrame:
-    """Entries of hot blocks under finer blocks: with each lane the record has besides."""
-    some = entries(records).join(hot, "block", "left_semi").select("id", "block", F.posexplode("fp").alias("k", "lane"))
-    return some.filter("lane is not null").select("id", F.xxhash64("block", "k", "lane").alias("block"))
+def _others(mask: Column) -> Column:
+    """Of lanes as bits, those that the block doesn't imply."""
+    return mask.bitwiseAND(F.bitwise_not(F.col("own")))
+
+
+def _within_hot(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): the pairs of hot blocks with close fingerprints, without going through the other pairs.
+
+    They have a further lane in common, besides the block's own two, and are joined on the first such; or they have none, and are
+    close because at most two other lanes are there to differ, or as the block is a whole phone or mailbox. These are joined on
+    the lanes that are there.
+    """
+    there = F.shiftrightunsigned("fp", 56).cast("int")
+    x, y = (some.withColumns({"own": own_lanes(F.col("block")), "there": there}) for some in (left, right))
+    parts = F.array(*[F.when(_others(F.col("there")).bitwiseAND(1 << k) > 0, F.shiftrightunsigned("fp", 7 * k).bitwiseAND(127).cast("int") + 128 * k) for k in range(len(LANES))])
+    fine_x = x.select("block", "own", F.col("id").alias("a"), F.col("fp").alias("fp_a"), F.explode(parts).alias("part")).filter("part is not null")
+    fine_y = y.select("block", F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.explode(parts).alias("part")).filter("part is not null")
+    shared = _others(equal_lanes(F.col("fp_a"), F.col("fp_b")))
+    first = shared.bitwiseAND(-shared) == F.expr("shiftleft(1, part div 128)")
+    third = fine_x.join(fine_y, ["block", "part"]).filter(first).select("a", "b")
+    kinds = y.select("block", F.col("there").alias("there_b")).distinct()
+    whole = F.col("own").isin(1 << 1 | 1 << 2, 1 << 5 | 1 << 6)
+    few = x.join(kinds, "block").filter(whole | (F.bit_count(_others(F.col("there").bitwiseAND(F.col("there_b")))) <= 2)).select("block", "own", "there_b", F.col("id").alias("a"), F.col("fp").alias("fp_a"))
+    none = few.join(y.select("block", F.col("there").alias("there_b"), F.col("id").alias("b"), F.col("fp").alias("fp_b")), ["block", "there_b"]).filter(shared == 0).select("a", "b")
+    return third.unionByName(none)
 
 
 def pairs_between(left: DataFrame, right: DataFrame, most: int = HOT) -> DataFrame:
-    """(a, b): records of two tables that share a block and differ in few bits, each pair once."""
+    """(a, b): records of two tables that share a block and differ in few bits, each pair once. ``most`` doesn't change the result."""
     x, y = cut_lineage(blocks(left)), cut_lineage(blocks(right))
     hot = cut_lineage(_hot(x.select("block").unionByName(y.select("block")), most))
     crowded = not hot.isEmpty()
@@ -35,8 +56,7 @@ def pairs_between(left: DataFrame, right: DataFrame, most: int = HOT) -> DataFra
     p, q = p.alias("x"), q.alias("y")
     out = p.join(q, F.col("x.block") == F.col("y.block")).filter(close_fingerprints(F.col("x.fp"), F.col("y.fp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if crowded:
-        p, q = _finer(left, hot).alias("x"), _finer(right, hot).alias("y")
-        out = out.unionByName(p.join(q, F.col("x.block") == F.col("y.block")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        out = out.unionByName(_within_hot(x.join(hot, "block", "left_semi"), y.join(hot, "block", "left_semi")))
     return out.distinct()
 
 

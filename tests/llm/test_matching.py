@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leadloom.llm import business as B
 from leadloom.llm.address import parsed, same_places
 from leadloom.llm.canon import LEAST, _tokens, canon_names, map_values, match_values
-from leadloom.llm.candidates import pairs_to_earlier
+from leadloom.llm.candidates import pairs_between, pairs_to_earlier
 from leadloom.llm.history import History, features, repeats
 from leadloom.llm.linkage import LabelModel, link
 from leadloom.llm.subjects import Matcher, assign_subjects, sentences
@@ -87,6 +87,16 @@ def test_each_row_of_a_hot_block_finds_its_first(spark):
         assert {(r.a, r.b) for r in found.collect()} == want
 
 
+def test_pairs_do_not_depend_on_the_size_of_a_block(spark):
+    rows = crowd()[0] + [(300 + i, "Zetopogu Climate", None if i % 3 else f"+1 555 01{i:02d} 0{i % 4}{i % 5}9", None if i % 2 else "zetopogu.example", None if i % 4 else f"x{i}@nook.example", i > 6) for i in range(24)]
+    # of one block (beginnings of name and line) and no more alike than that
+    rows += [(400 + i, f"Zetopogu Climate bazol{c}{c}", f"+1 555 01{i:02d} {i * 37 % 90 + 10}4", f"{c * 8}.example", None, i > 6) for i, c in enumerate("bdfgklmnprstvz")]
+    full = features(records(spark, rows)).cache()
+    left, right = full.filter("not is_new"), full.filter("is_new")
+    got = [sorted(map(tuple, pairs_between(left, right, most).collect())) for most in (3, 8, 10**6)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_link_and_confidence(spark):
     left = records(spark, BASE).drop("is_new")
     right = records(spark, [(100 + r[0], *r[1:]) for r in NEW]).drop("is_new")
