@@ -7,6 +7,8 @@ and of a platform (many names).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,25 +24,27 @@ IDLE = (
 PRAISE = r"\b(?:official(?: site)?|open now|open 24 ?7|best in town|free quotes?|no call ?-?out fee|24[ /]?7|est \d{4}|since \d{4}|top rated|now hiring|near me)\b"
 #: Local parts of shared mailboxes.
 SHARED_BOX = r"^(?:info|hello|office|team|support|contact|enquiries|enquiry|admin|service|services|bookings?|sales|billing|jobs|mail|hi|reception|accounts)\d*@"
-#: A host is a platform from so many names on, if they are at least this share of its lines; a chain from so many lines on.
-PLATFORM_NAMES, PLATFORM_SHARE, CHAIN_LINES = 10, 0.5, 3
-#: A word of at least this share of all names is no mark of a single business. There can be no more such words than
-#: words per name over this share, so they are collected.
-COMMON = 0.0008
-#: Rows from which a word counts as common in small tables.
-COMMON_LEAST = 6
+#: Shares that tell kinds of words and hosts, whatever the number of rows. A value counts as a spelling of a host's commonest if it
+#: has under SPELLING of that one's rows.
+SPELLING = 1 / 16
+#: A host is a chain's from so many lines on; a platform from so many names on, besides its commonest, if these hold at least
+#: PLATFORM_REST of its rows and are at least PLATFORM_SHARE of its lines.
+CHAIN_LINES, PLATFORM_NAMES, PLATFORM_REST, PLATFORM_SHARE = 3, 9, 0.15, 0.5
+#: A word is common, no mark of a single business, if it has WORD_ROWS rows or more and, besides its most frequent host, at least
+#: WORD_REST of its rows, of as many hosts as WORD_HOSTS equally frequent ones would be.
+WORD_ROWS, WORD_REST, WORD_HOSTS = 6, 0.05, 5
+#: Up to so many common words are looked up in each row; more are joined.
+LISTED_WORDS = 20_000
 
 
 def phone_key(c: Column) -> Column:
     """National digits: no extension, trunk zero or calling code; null if there aren't 7 to 13 digits."""
-    c = F.regexp_replace(F.lower(F.trim(c)), r"\s*(?:\bext(?:ension|n)?\.?|\bx)\s*\d+\s*$", "")
-    number = F.regexp_extract(c, r"^'?\+?(\d+)\.0$", 1)  # a number that went through a spreadsheet
-    c = F.regexp_replace(c, r"\(0\)", "")
-    digits = F.regexp_replace(c, r"\D", "")
-    abroad = (number != "") | c.contains("+") | digits.startswith("00")
-    digits = F.when(number != "", number).otherwise(digits)
-    digits = F.regexp_replace(digits, "^0+", "")
-    key = F.when(abroad, F.regexp_replace(F.regexp_replace(digits, f"^(?:{CODES})(?=\\d{{7}})", ""), "^0+", "")).otherwise(digits)
+    c = F.regexp_replace(F.lower(F.trim(c)), r"\s*(?:\bext(?:ension|n)?\.?|\bx)\s*\d+\s*$|\(0\)", "")
+    sheet = c.rlike(r"^'?\+?\d+\.0$")  # a number that went through a spreadsheet
+    digits = F.regexp_replace(F.when(sheet, F.regexp_replace(c, r"\.0$", "")).otherwise(c), r"\D+", "")
+    abroad = sheet | c.contains("+") | digits.startswith("00")
+    short = F.ltrim(digits, F.lit("0"))
+    key = F.when(abroad, F.ltrim(F.regexp_replace(short, f"^(?:{CODES})(?=\\d{{7}})", ""), F.lit("0"))).otherwise(short)
     return F.when(F.length(key).between(7, 13), key)
 
 
@@ -58,88 +62,111 @@ def host_of(c: Column) -> Column:
 
 def name_words(c: Column) -> Column:
     """Words of a name without marks, legal forms and praise, as a sorted set."""
-    c = F.coalesce(c, F.lit(""))
-    c = F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(F.lower(c))
-    c = F.replace(F.replace(c, F.lit("&amp;"), F.lit(" and ")), F.lit("&"), F.lit(" and "))
+    c = F.lower(F.coalesce(c, F.lit("")))
+    c = F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(c)
+    c = F.when(c.contains("&"), F.replace(F.replace(c, F.lit("&amp;"), F.lit(" and ")), F.lit("&"), F.lit(" and "))).otherwise(c)
     c = F.translate(F.when(c.contains("."), F.regexp_replace(c, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")).otherwise(c), "'’`", "")
     c = F.when(c.contains("|"), F.regexp_replace(F.regexp_replace(c, "[-.]", " "), PRAISE, " ")).otherwise(c)
-    return F.array_sort(F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*IDLE))))
+    return F.sort_array(F.array_except(F.split(c, r"[^a-z0-9\P{ASCII}]+|[^\p{L}\p{N}]+"), F.array(*[F.lit(w) for w in ("", *IDLE)])))
 
 
 def prepare(df: DataFrame, key: str, name: str, phones: list[str], website: str, email: str) -> DataFrame:
     """(id, words, phones, web, mails, mail_host) of each row."""
-    raw = df.select(F.col(key).alias("id"), F.col(name).alias("n"), F.array(*[F.col(p) for p in phones]).alias("p"), F.col(website).alias("u"), F.col(email).alias("e"))
-    out = pinned(raw, {
-        "words": name_words(F.col("n")), "phones": F.array_sort(F.array_distinct(F.filter(F.transform(F.array_distinct("p"), phone_key), lambda x: x.isNotNull()))),
-        "web": host_of(F.col("u")), "mails": emails_of(F.col("e")),
-    })
-    return out.select("id", "words", "phones", "web", "mails", F.substring_index(F.try_element_at("mails", F.lit(1)), "@", -1).alias("mail_host"))
-
-
-def common_words(records: DataFrame) -> list[str]:
-    """The words of many names; their number is bounded by COMMON."""
-    total = records.count()
-    least = max(COMMON_LEAST, int(total * COMMON))
-    rows = records.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= least).select("w")
-    return sorted(r.w for r in rows.collect())
-
-
-def host_kinds(records: DataFrame) -> DataFrame:
-    """(host, kind) of the platforms and chains, from all records: distinct hashes of names and lines are counted, so that no host,
-    however hot, makes a large group."""
-    hashed = records.select("web", "mail_host", F.xxhash64("stem").alias("name"), F.xxhash64(F.try_element_at("phones", F.lit(1))).alias("line"), (F.size("phones") > 0).alias("some"))
-    seen = None
-    for host in ("web", "mail_host"):
-        for what, value in ((0, "name"), (1, "line")):
-            once = F.lit(True) if host == "web" else ~F.col("mail_host").eqNullSafe(F.col("web"))
-            one = hashed.filter(F.col(host).isNotNull() & once & ((F.lit(what) == 0) | F.col("some"))).select(F.col(host).alias("host"), F.lit(what).alias("what"), F.col(value).alias("value"))
-            seen = one if seen is None else seen.unionByName(one)
-    seen = seen.distinct().groupBy("host").agg(F.count_if(F.col("what") == 0).alias("names"), F.count_if(F.col("what") == 1).alias("lines"))
-    platform = (F.col("names") >= PLATFORM_NAMES) & (F.col("names") >= PLATFORM_SHARE * F.col("lines"))
+    lines = [f"p{k}" for k in range(len(phones))]
+    raw = df.select(F.col(key).alias("id"), F.col(name).alias("n"), F.col(website).alias("u"), F.col(email).alias("e"), *[F.col(p).alias(c) for p, c in zip(phones, lines, strict=True)])
+    out = pinned(raw, {"words": name_words(F.col("n")), "web": host_of(F.col("u")), "mails": emails_of(F.col("e")), **{c: phone_key(F.col(c)) for c in lines}})
+    found = F.array_compact(F.array(*lines))
+    found = F.sort_array(F.array_distinct(found)) if len(lines) > 1 else found
+    return out.select("id", "words", found.alias("phones"), "web", "mails", F.substring_index(F.try_element_at("mails", F.lit(1)), "@", -1).alias("mail_host"))
+
+
+def word_counts(records: DataFrame) -> DataFrame:
+    """(w, host, n): rows by word and host, additive over batches; records without a host aren't counted. Hosts that begin alike, as
+    mistyped ones mostly do, are one."""
+    host = F.xxhash64(F.left(_label(F.coalesce("web", "mail_host")), F.lit(4)))
+    return records.filter("web is not null or mail_host is not null").select(F.explode("words").alias("w"), host.alias("host")).groupBy("w", "host").agg(F.count("*").alias("n"))
+
+
+def common_words(counts: DataFrame) -> DataFrame:
+    """(w): the common words by word_counts (rows of one word and host may be several). A brand has its own host and a few of
+    platforms, however often it is repeated; a word of many businesses has many hosts besides that of one much repeated."""
+    per = counts.groupBy("w", "host").agg(F.sum("n").cast("double").alias("n"))
+    per = per.groupBy("w").agg(F.sum("n").alias("rows"), F.max("n").alias("top"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    rest, squares = F.col("rows") - F.col("top"), F.col("squares") - F.col("top") * F.col("top")
+    return per.filter((F.col("rows") >= WORD_ROWS) & (rest >= WORD_REST * F.col("rows")) & (rest * rest >= WORD_HOSTS * squares)).select("w")
+
+
+def classify(records: DataFrame, common: DataFrame, listed: int = LISTED_WORDS) -> DataFrame:
+    """Adds stem (words of its own, not common ones) to records with unique ids."""
+    few = [r.w for r in common.limit(listed + 1).collect()]  # a vocabulary, not rows; beyond ``listed`` words it is joined
+    if len(few) <= listed:
+        return records.withColumn("stem", F.filter("words", lambda w: ~w.isin(*sorted(few))) if few else F.col("words"))
+    keys = [c for c in ("side", "id") if c in records.columns]
+    own = records.select(*keys, F.explode("words").alias("w")).join(common, "w", "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list("w")).alias("stem"))
+    return records.join(own, keys, "left").withColumn("stem", F.coalesce("stem", F.array().cast("array<string>")))
+
+
+def host_counts(records: DataFrame) -> DataFrame:
+    """(host, what, value, n): rows by host and name (what 0) or line (what 1), as hashes, additive over batches."""
+    mail = F.when(~F.col("mail_host").eqNullSafe(F.col("web")), F.col("mail_host"))
+    line = F.xxhash64(F.try_element_at("phones", F.lit(1)))
+    pairs = [F.struct(h.alias("host"), F.lit(w).alias("what"), v.alias("value")) for h in (F.col("web"), mail) for w, v in ((0, F.xxhash64("stem")), (1, F.when(F.size("phones") > 0, line)))]
+    return records.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").filter("host is not null and value is not null").groupBy("host", "what", "value").agg(F.count("*").alias("n"))
+
+
+def host_kinds(counts: DataFrame) -> DataFrame:
+    """(host, kind) of the platforms and chains by host_counts. Only counts of counts are gathered by host, so no host, however
+    hot, makes a large group."""
+    per = counts.groupBy("host", "what", "value").agg(F.sum("n").alias("n"))
+    power = F.floor(F.log2("n")).cast("int")
+    per = per.groupBy("host", "what", power.alias("power")).agg(F.count("*").alias("values"), F.max("n").cast("double").alias("top"), F.sum("n").cast("double").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    per = per.groupBy("host", "what").agg(F.max("top").alias("top"), F.sum("rows").alias("rows"), F.sum("squares").alias("squares"), F.collect_list(F.struct("power", "values")).alias("by"))  # at most 63 each
+    per = per.withColumn("real", F.aggregate("by", F.lit(0).cast("bigint"), lambda t, x: t + F.when(F.pow(F.lit(2.0), x["power"] + 1) > SPELLING * F.col("top"), x["values"]).otherwise(0)))
+    rest, squares = F.col("rows") - F.col("top"), F.col("squares") - F.col("top") * F.col("top")
+    per = per.withColumn("others", F.when(rest >= PLATFORM_REST * F.col("rows"), rest * rest / F.greatest(squares, F.lit(1.0))).otherwise(0.0))
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    seen = per.groupBy("host").agg(of(0, "others").alias("names"), F.coalesce(of(1, "real"), F.lit(0)).alias("lines"), F.coalesce(of(1, "rows") * of(1, "rows") / of(1, "squares"), F.lit(0.0)).alias("spread"))
+    platform = (F.col("names") >= PLATFORM_NAMES) & (F.col("names") >= PLATFORM_SHARE * F.col("spread"))
     kind = F.when(platform, "platform").when(F.col("lines") >= CHAIN_LINES, "chain")
     return seen.select("host", kind.alias("kind")).filter("kind is not null")
 
 
-def classify(records: DataFrame, common: list[str]) -> DataFrame:
-    """Adds stem (words of its own, not common ones) to records."""
-    known = in_array(common) if common else F.array().cast("array<string>")
-    return records.withColumn("stem", F.array_except("words", known))
-
-
 def with_hosts(records: DataFrame, kinds: DataFrame) -> DataFrame:
     """Adds hosts (those that mark a business or chain), chain, own_mails (addresses that mark one business or branch)."""
-    a = kinds.select(F.col("host").alias("web"), F.col("kind").alias("web_kind"))
-    b = kinds.select(F.col("host").alias("mail_host"), F.col("kind").alias("mail_kind"))
-    df = records.join(a, "web", "left").join(b, "mail_host", "left")
+    # Records without a host are spread over a thousand keys that no host has, not sent to one task.
+    spread = lambda c: F.coalesce(F.col(c), F.concat(F.lit("?"), F.pmod(F.xxhash64("id"), F.lit(1000))))
+    a = kinds.select(F.col("host").alias("_web"), F.col("kind").alias("web_kind"))
+    b = kinds.select(F.col("host").alias("_mail"), F.col("kind").alias("mail_kind"))
+    df = records.join(a, spread("web") == F.col("_web"), "left").drop("_web").join(b, spread("mail_host") == F.col("_mail"), "left").drop("_mail")
     web = F.when(~F.col("web_kind").eqNullSafe("platform"), F.col("web"))
     mail = F.when(~F.col("mail_kind").eqNullSafe("platform"), F.col("mail_host"))
     free = F.col("mail_kind").eqNullSafe("platform")
     chain = F.col("web_kind").eqNullSafe("chain") | F.col("mail_kind").eqNullSafe("chain")
     return df.withColumns({
-        "hosts": F.array_sort(F.array_distinct(F.filter(F.array(web, mail), lambda x: x.isNotNull()))),
+        "hosts": F.sort_array(F.array_distinct(F.array_compact(F.array(web, mail)))),
         "chain": chain,
         # in a chain a shared box is no branch's own; elsewhere any address marks the business
-        "own_mails": F.array_sort(F.filter("mails", lambda m: free | ~chain | ~m.rlike(SHARED_BOX))),
+        "own_mails": F.sort_array(F.when(free | ~chain, F.col("mails")).otherwise(F.filter("mails", lambda m: ~m.rlike(SHARED_BOX)))),
     }).drop("web_kind", "mail_kind")
 
 
 def _close(x: Column, y: Column, most: int = 2) -> Column:
     """One typing error apart, or two in long words; neighbours swapped count as one."""
-    d = F.levenshtein(x, y)
-    swapped = (d == 2) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
-    return (F.abs(F.length(x) - F.length(y)) <= most) & ((d <= F.when(F.least(F.length(x), F.length(y)) >= 6, most).otherwise(1)) | swapped)
+    d = F.levenshtein(x, y, 2)  # -1 beyond
+    swapped = (d == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, "")))
+    return (F.abs(F.length(x) - F.length(y)) <= most) & (((d >= 0) & (d <= F.when(F.least(F.length(x), F.length(y)) >= 6, most).otherwise(1))) | swapped)
 
 
 def _lacking(a: Column, b: Column) -> Column:
     """Of a's words that b lacks, those that aren't near one of b's words that a lacks: mistyped, cut off or shortened."""
 
-    def near(x: Column, y: Column) -> Column:
-        error = (F.length(x) >= 4) & (F.length(y) >= 4) & _close(x, y)
+    def less(x: Column, y: Column) -> Column:
         cut = F.startswith(y, x) & (F.length(x) <= 4)
         short = (F.length(x).between(3, 5)) & (F.length(y) > F.length(x) + 1) & (F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & F.rlike(y, F.array_join(F.split(x, ""), ".*"))
-        return error | cut | short
+        return cut | short
 
-    return F.filter(a, lambda x: ~F.exists(b, lambda y: near(x, y) | near(y, x)))
+    near = lambda x, y: ((F.length(x) >= 4) & (F.length(y) >= 4) & _close(x, y)) | less(x, y) | less(y, x)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), a).otherwise(F.filter(a, lambda x: ~F.exists(b, lambda y: near(x, y))))
 
 
 def _label(host: Column) -> Column:
@@ -149,8 +176,10 @@ def _label(host: Column) -> Column:
 
 def _met(a: Column, b: Column, close) -> Column:
     """1 where a value of a and one of b are equal or close, 0 where a side has none, else -1."""
+    x, y = F.get(a, F.lit(0)), F.get(b, F.lit(0))
     near = F.exists(a, lambda x: F.exists(b, lambda y: close(x, y)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.arrays_overlap(a, b), 1).when(near, 1).otherwise(-1)
+    one = (F.size(a) == 1) & (F.size(b) == 1)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(x == y, 1).when(one, F.when(close(x, y), 1).otherwise(-1)).when(F.arrays_overlap(a, b) | near, 1).otherwise(-1)
 
 
 def evidence(pairs: DataFrame) -> DataFrame:
@@ -215,88 +244,108 @@ def sides(pairs: DataFrame, a: DataFrame, b: DataFrame, left: str = "a", right:
     return pairs.join(fa, left).join(fb, right)
 
 
-#: Pairs of lanes that make the block tables; those with both of host and mail, or both of host, don't hold in chains.
-LANES = ("prefixes", "phone_a", "phone_z", "host_a", "host_z", "mail_a", "mail_z", "endings")  # the last is only compared, in no table
-PAIRS = [(0, k) for k in range(1, 7)] + [(1, 2), (5, 6), (3, 4)] + [(p, k) for p in (1, 2) for k in (3, 4, 5, 6)] + [(h, m) for h in (3, 4) for m in (5, 6)]
-OF_HOSTS = {(3, 4)} | {(h, m) for h in (3, 4) for m in (5, 6)}
+#: The lanes of a fingerprint, 16 bits each: beginnings and endings of the words, and both ends of phone, host and mailbox.
+LANES = ("prefixes", "phone_a", "phone_z", "host_a", "host_z", "mail_a", "mail_z", "endings")
+BITS, LANE = 16, 0xFFFF
+#: The rotated tables: the two lanes that each puts in front. The last is of whole names with words of their own.
+TABLES = ((1, 2), (3, 4), (5, 6), (0, 3), (0, 4), (0, 1), (0, 2), (1, 3), (2, 3), (0, 7))
+WHOLE_NAMES = len(TABLES) - 1
+#: The table of whole hosts doesn't hold in chains.
+WHOLE_HOSTS = 1
 
 
-def lanes(records: DataFrame) -> DataFrame:
-    """Adds fp: the fingerprint of eight lanes of 32 bits, null where a detail is missing; and one row per further phone.
+def pieces(records: DataFrame) -> DataFrame:
+    """The pieces of the lanes as columns, null where a detail is missing: a row for each phone and host."""
+    ends = lambda c, n: (F.left(c, F.lit(n)), F.right(c, F.lit(n)))
+    there = lambda c: F.nullif(c, F.lit(""))
+    records = records.select("*", F.explode_outer("phones").alias("_p")).select("*", F.explode_outer("hosts").alias("_h"))
+    box = F.substring_index(F.try_element_at(F.filter("own_mails", lambda m: ~m.rlike(SHARED_BOX)), F.lit(1)), "@", 1)
+    prefixes = F.array_join(F.array_distinct(F.transform("words", lambda w: F.left(w, F.lit(2)))), "")  # of sorted words: sorted
+    endings = F.array_join(F.sort_array(F.array_distinct(F.transform("words", lambda w: F.right(w, F.lit(2))))), "")
+    records = pinned(records, {"_h": _label(F.col("_h")), "_b": box, "prefixes": there(prefixes), "endings": there(endings)})
+    half = (F.length("_p") / 2).cast("int")
+    cut = {"phone_a": F.left("_p", half), "phone_z": F.right("_p", F.length("_p") - half)}
+    cut |= dict(zip(("host_a", "host_z", "mail_a", "mail_z"), (*ends(F.col("_h"), 6), *ends(F.col("_b"), 5)), strict=True))
+    return pinned(records, {k: there(c) for k, c in cut.items()})
 
-    Lanes are hashes of pieces (first and last letters or digits) of the details, so that a typing error changes the bits of one
-    lane and leaves the others.
-    """
-    def bits(c: Column) -> Column:
-        return F.when(c.isNotNull() & (F.length(c) > 0), F.shiftright(F.xxhash64(c), 32).cast("int"))
 
-    ends = lambda c, n: (F.left(c, F.lit(n)), F.right(c, F.lit(n)))
-    half = (F.length("a_phone") / 2).cast("int")
-    digits = (F.left("a_phone", half), F.right("a_phone", F.length("a_phone") - half))
-    records = records.withColumn("a_phone", F.explode_outer("phones"))
-    prefixes = F.array_join(F.array_distinct(F.array_sort(F.transform("words", lambda w: F.left(w, F.lit(2))))), " ")
-    endings = F.array_join(F.array_distinct(F.array_sort(F.transform("words", lambda w: F.right(w, F.lit(2))))), " ")
-    host, box = _label(F.try_element_at("hosts", F.lit(1))), F.try_element_at(F.filter("own_mails", lambda m: ~m.rlike(SHARED_BOX)), F.lit(1))
-    box = F.substring_index(box, "@", 1)
-    pieces = [prefixes, *digits, *ends(host, 6), *ends(box, 5), endings]
-    return records.withColumn("fp", F.array(*[bits(p) for p in pieces])).drop("a_phone")
-
-
-def entries(records: DataFrame) -> DataFrame:
-    """(id, block, fp): the rotated block tables. A block is a hash of its table's two lanes, with the table's number as its last
-    five bits; one more table holds whole names with words of their own."""
-
-    def numbered(n: int, *parts: Column) -> Column:
-        return F.xxhash64(*parts).bitwiseAND(-32).bitwiseOR(n)
-
-    def block(n: int, x: int, y: int) -> Column:
-        a, b = F.col("fp")[x], F.col("fp")[y]
-        there = a.isNotNull() & b.isNotNull()
-        if (x, y) in OF_HOSTS:
-            there &= ~F.col("chain")
-        return F.when(there, numbered(n, a, b))
+def bit_lane(name: str) -> Column:
+    """A bit for each pair of letters of a piece (of prefixes and endings, for each of the pairs they are made of), so that a typing
+    error changes at most four; 0 where there is no piece."""
+    apart = name in ("prefixes", "endings")
+    places = range(1, 24, 2) if apart else range(1, 7)
+    bit = "CASE WHEN length({n}) >= {least} THEN shiftleft(1L, pmod(hash(substring({n}, {i}, 2)), {bits})) ELSE 0L END"
+    return F.expr(" | ".join(bit.format(n=name, i=i, least=i if i == 1 or apart else i + 1, bits=BITS) for i in places))
 
-    tables = [block(n, x, y) for n, (x, y) in enumerate(PAIRS)] + [F.when(F.size("stem") > 0, numbered(len(PAIRS), F.array_join("words", " ")))]
-    return lanes(records).select("id", "fp", F.explode(F.array(*tables)).alias("block")).filter("block is not null")
 
+def hashed_lane(name: str) -> Column:
+    """A lane that only tells equal pieces from others: for pairs that are judged by their equal lanes."""
+    return F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.hash(name).bitwiseAND(LANE).bitwiseOR(1)).cast("bigint")
 
-def blocks(records: DataFrame) -> DataFrame:
-    """The block tables with fingerprints in one number: seven bits of each lane, and a bit for each that is there."""
-    fp, packed = F.col("fp"), F.lit(0).cast("bigint")
-    for k in range(len(LANES)):
-        bits = F.shiftleft(fp[k].bitwiseAND(127).cast("bigint"), 7 * k).bitwiseOR(F.shiftleft(F.lit(1).cast("bigint"), 56 + k))
-        packed = packed.bitwiseOR(F.when(fp[k].isNotNull(), bits).otherwise(F.lit(0).cast("bigint")))
-    return entries(records).select("id", packed.alias("fp"), "block")
 
+def entries(records: DataFrame, lane=bit_lane) -> DataFrame:
+    """(id, block, lo, hi): the rotated block tables of records with words, phones, hosts, own_mails, chain, stem.
 
-#: By table, the lanes (as bits) that all entries of a block have in common; equal names have equal prefixes and endings.
-OWN = [1 << x | 1 << y for x, y in PAIRS] + [1 << 0 | 1 << 7]
+    lo and hi are the fingerprint, four lanes each. A block is a hash of the two pieces whose lanes its table puts in front, with
+    the table's number as its last four bits.
+    """
+    made = pinned(pieces(records), {"lanes": F.array(*[F.coalesce(lane(n), F.lit(0).cast("bigint")) for n in LANES])})
+    word = lambda ks: reduce(Column.bitwiseOR, (F.shiftleft(F.col("lanes")[k], BITS * (k % 4)) for k in ks))
+    keys = []
+    for n, (x, y) in enumerate(TABLES):
+        parts = (F.array_join("words", " "),) if n == WHOLE_NAMES else (F.col(LANES[x]), F.col(LANES[y]))
+        there = F.size("stem") > 0 if n == WHOLE_NAMES else parts[0].isNotNull() & parts[1].isNotNull()
+        if n == WHOLE_HOSTS:
+            there &= ~F.col("chain")
+        keys.append(F.when(there, F.xxhash64(F.lit(n), *parts).bitwiseAND(-16).bitwiseOR(n)))
+    rows = made.select("id", F.array_compact(F.array(*keys)).alias("blocks"), word((0, 1, 2, 3)).alias("lo"), word((4, 5, 6, 7)).alias("hi"))
+    return rows.select("id", F.explode("blocks").alias("block"), "lo", "hi")
+
+
+#: By table, the lanes (as bits) that all entries of a block have in common.
+OWN = [1 << x | 1 << y for x, y in TABLES]
+PHONE, MAILBOX = 1 << 1 | 1 << 2, 1 << 5 | 1 << 6
 
 
 def own_lanes(block: Column) -> Column:
-    return F.get(F.array(*[F.lit(m) for m in OWN]), block.bitwiseAND(31).cast("int"))
+    return F.get(F.array(*[F.lit(m) for m in OWN]), block.bitwiseAND(15).cast("int"))
+
+
+def lane_sql(k: int, side: str = "") -> str:
+    """Lane k of a fingerprint in the columns lo and hi."""
+    return f"(shiftrightunsigned({side}{'lo' if k < 4 else 'hi'}, {BITS * (k % 4)}) & {LANE})"
+
+
+def lanes_there(side: str = "") -> Column:
+    """The lanes, as bits, that are there."""
+    return F.expr(" + ".join(f"IF({lane_sql(k, side)} <> 0, {1 << k}, 0)" for k in range(8)))
 
 
-def equal_lanes(a: Column, b: Column) -> Column:
-    """The lanes, as bits, that two packed fingerprints both have and that are equal in all their bits."""
-    both, apart, out = F.shiftrightunsigned(a.bitwiseAND(b), 56).cast("int"), a.bitwiseXOR(b), F.lit(0)
-    for k in range(len(LANES)):
-        out = out.bitwiseOR(F.when(F.shiftrightunsigned(apart, 7 * k).bitwiseAND(127) == 0, both.bitwiseAND(1 << k)).otherwise(0))
-    return out
+def equal_lanes(a: str = "a_", b: str = "b_") -> Column:
+    """The lanes, as bits, that two fingerprints both have and that are equal in all their bits."""
+    return F.expr(" + ".join(f"IF({lane_sql(k, a)} <> 0 AND {lane_sql(k, a)} = {lane_sql(k, b)}, {1 << k}, 0)" for k in range(8)))
 
 
-def close_fingerprints(a: Column, b: Column) -> Column:
+def close_fingerprints(a: str = "a_", b: str = "b_") -> Column:
     """Of the lanes both have at least three are equal in all their bits, or both of the phone or of the mailbox are, or at most two
     lanes differ in any bit."""
-    both, apart = F.shiftrightunsigned(a.bitwiseAND(b), 56), a.bitwiseXOR(b)
-    there, differ, lane = F.lit(0), F.lit(0), []
-    for k in range(len(LANES)):
-        on = F.shiftright(both, k).bitwiseAND(1).cast("int")
-        there = there + on
-        other = F.bit_count(F.shiftrightunsigned(apart, 7 * k).bitwiseAND(127)) > 0
-        differ = differ + F.when(other, on).otherwise(0)
-        lane.append((on == 1) & ~other)
-    return (there - differ >= 3) | (differ <= 2) | (lane[1] & lane[2]) | (lane[5] & lane[6])
-
-
-__all__ = ["blocks", "classify", "close_fingerprints", "common_words", "evidence", "host_kinds", "prepare", "same_business", "sides", "with_hosts"]
+    equal = equal_lanes(a, b)
+    both = F.bit_count(lanes_there(a).bitwiseAND(lanes_there(b)))
+    n = F.bit_count(equal)
+    return (n >= 3) | (both - n <= 2) | (equal.bitwiseAND(PHONE) == PHONE) | (equal.bitwiseAND(MAILBOX) == MAILBOX)
+
+
+#: Of the bits that are set in a lane both records have, at most so many in a hundred may differ. One detail changed in full and
+#: a typing error in another stay below.
+FAR = 70
+
+
+def within_distance(a: str = "a_", b: str = "b_") -> Column:
+    """Hamming distance of two fingerprints over the lanes both have, against what these lanes hold; a whole phone or mailbox is
+    near enough by itself."""
+    x, y = [lane_sql(k, a) for k in range(8)], [lane_sql(k, b) for k in range(8)]
+    both = [f"{p} <> 0 AND {q} <> 0" for p, q in zip(x, y, strict=True)]
+    apart = " + ".join(f"IF({on}, bit_count({p} ^ {q}), 0)" for on, p, q in zip(both, x, y, strict=True))
+    held = " + ".join(f"IF({on}, bit_count({p}) + bit_count({q}), 0)" for on, p, q in zip(both, x, y, strict=True))
+    whole = [f"({both[i]} AND {both[j]} AND {x[i]} = {y[i]} AND {x[j]} = {y[j]})" for i, j in ((1, 2), (5, 6))]
+    return F.expr(f"({apart}) * 100 <= ({held}) * {FAR} OR {' OR '.join(whole)}")

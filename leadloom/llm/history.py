@@ -1,8 +1,9 @@
-"""New batches against everything accepted: fingerprints in rotated block tables.
+"""New batches against everything accepted: fingerprints in rotated block tables, kept in a folder and appended to.
 
-Accepted records lie in a folder as features and as block tables. A batch is turned into fingerprints, looked up by exact block
-matches, verified by the differing bits and then by the texts of name, phone, website and e-mail, and appended. The history's
-texts are not read again for a batch.
+A fingerprint has eight lanes of bits, one for each end of each detail, with a bit for each pair of letters; so a typing error
+changes at most four bits. Each rotated table puts two lanes in front: a batch's own blocks are looked up in the stored ones by
+exact match, what meets is verified by the Hamming distance of the fingerprints and then by the texts, which are read for the
+pairs that are left only. Then the batch's records, fingerprints and counts are appended.
 """
 
 from __future__ import annotations
@@ -11,23 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import business as B
-from leadloom.llm.candidates import pairs_to_earlier
-from leadloom.shared import cut_lineage
+from leadloom.llm.candidates import HOT, pairs_to_earlier
+from leadloom.shared import cut_lineage, scratch_dir
 
+#: The compared columns of a record.
+DETAILS = ("words", "phones", "web", "mails", "mail_host")
 
-def features(records: DataFrame, statistics_from: DataFrame | None = None) -> DataFrame:
-    """Records with the columns compared. Word and host statistics come from ``statistics_from`` (else the records)."""
-    base = records if statistics_from is None else statistics_from
-    common = B.common_words(base)
-    kinds = cut_lineage(B.host_kinds(B.classify(base, common)))
-    return B.with_hosts(B.classify(records, common), kinds)
 
-
-def links(new: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(a, b): verified pairs of a new record b and an earlier record a of the same business. accepted includes the new ones."""
-    pairs = cut_lineage(pairs_to_earlier(new, accepted))
-    judged = B.evidence(B.sides(pairs, accepted, new))
-    return judged.filter(B.same_business()).select("a", "b")
+def features(records: DataFrame) -> DataFrame:
+    """Records with the columns compared, where these records are all there are."""
+    common = cut_lineage(B.common_words(B.word_counts(records)))
+    known = B.classify(records, common)
+    return B.with_hosts(known, cut_lineage(B.host_kinds(B.host_counts(known))))
 
 
 def first_of(parents: DataFrame) -> DataFrame:
@@ -41,66 +37,85 @@ def first_of(parents: DataFrame) -> DataFrame:
             return now
 
 
-def repeats(records: DataFrame, new_from: DataFrame | None = None) -> DataFrame:
-    """(first_id, dup_id) of all records with ``is_new`` that repeat an earlier one; ids rise in the order of arrival.
-
-    Exact copies (in all compared columns) are one class and are looked up once. A record's first is the first of the earliest
-    record it matches, and so on up. Records without any name and contact match nothing. Repeated ids are taken as one record;
-    null ids are left out; empty tables give an empty result.
-    """
-    records = cut_lineage(records.filter("id is not null").dropDuplicates(["id"]))
-    kept = ["words", "phones", "web", "mails", "mail_host"]
-    classes = cut_lineage(records.filter("size(words) > 0 or size(phones) > 0 or web is not null or size(mails) > 0").groupBy(*kept).agg(F.min("id").alias("id"), F.min("is_new").alias("is_new")))
-    full = cut_lineage(features(classes, records).select("id", "is_new", *B.FEATURES))
-    parents = links(full.filter("is_new"), full).groupBy("b").agg(F.min("a").alias("a"))
-    roots = first_of(parents)
-    keyed = records.select(F.col("id").alias("dup_id"), "is_new", *kept)
-    same = [keyed[c].eqNullSafe(classes[c]) for c in kept]
-    condition = same[0]
-    for c in same[1:]:
-        condition &= c
-    member = keyed.join(classes.drop("is_new"), condition).select("dup_id", "is_new", F.col("id").alias("b"))
-    return member.join(roots, "b", "left").select(F.coalesce("a", "b").alias("first_id"), "dup_id", "is_new").filter("is_new and first_id < dup_id").drop("is_new")
-
-
 def ledger_records(leads: DataFrame) -> DataFrame:
-    """permanent_leads in keyed form."""
-    flags = leads.select(F.col("i_d").alias("id"), (F.coalesce("batch_no", F.lit(1)) > 0).alias("is_new")).dropDuplicates(["id"])
+    """permanent_leads in keyed form, with batch."""
+    flags = leads.select(F.col("i_d").alias("id"), F.coalesce("batch_no", F.lit(1)).alias("batch")).dropDuplicates(["id"])
     return B.prepare(leads, "i_d", "business_name", ["phone"], "website", "email").join(flags, "id")
 
 
 class History:
-    """The accepted records in a folder: features with fingerprints, batch by batch. Statistics of words and hosts are those of
-    the records given when the history was built; they are kept beside it."""
+    """The accepted records in a folder, batch by batch: records, block tables with fingerprints, counts of words and hosts, and the
+    first record of each repeat.
+
+    A batch is judged by the counts of what came before it and its own, never by later ones. Its parts are written to folders of
+    its number, so a batch that is taken again after a failure gives the same result and leaves the same history.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def build(self, records: DataFrame) -> History:
-        """Start from records (id, words, phones, web, mails, mail_host) that are accepted as they are."""
-        common = B.common_words(records)
-        self.spark.createDataFrame([(w,) for w in common], "w string").write.mode("overwrite").parquet(f"{self.path}/words")
-        B.host_kinds(B.classify(records, common)).write.mode("overwrite").parquet(f"{self.path}/hosts")
-        self._features(records).write.mode("overwrite").parquet(f"{self.path}/records")
-        return self
-
-    def _features(self, records: DataFrame) -> DataFrame:
-        common = sorted(r.w for r in self.spark.read.parquet(f"{self.path}/words").collect())  # bounded by COMMON
-        return B.with_hosts(B.classify(records, common), self.spark.read.parquet(f"{self.path}/hosts")).select("id", *B.FEATURES)
-
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """(first_id, dup_id) of the batch's repeats; the whole batch is appended, so that later ones also meet its spellings."""
-        schema = self.spark.read.parquet(f"{self.path}/records").schema
-        stored = self.spark.read.schema(schema).parquet(f"{self.path}/records")
-        new = cut_lineage(self._features(batch).select(*[c for c in stored.columns]))
-        parents = links(new, stored.unionByName(new)).groupBy("b").agg(F.min("a").alias("a"))
-        known = self.spark.read.parquet(f"{self.path}/firsts") if self._has("firsts") else self.spark.createDataFrame([], parents.select("b", "a").schema)
-        roots = first_of(parents)
-        found = cut_lineage(roots.join(known.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select("b", F.coalesce("top", "a").alias("a")))
-        found.write.mode("append").parquet(f"{self.path}/firsts")
-        new.write.mode("append").parquet(f"{self.path}/records")
-        return found.select(F.col("a").alias("first_id"), F.col("b").alias("dup_id"))
-
-    def _has(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self.schemas: dict[str, object] = {}
+
+    def _write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
+        self.schemas[name] = df.schema
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/{batch}")
+
+    def _until(self, name: str, batch: int) -> DataFrame:
+        """What all batches up to ``batch`` have written."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = sorted(n for n in (int(x.getPath().getName()) for x in files.listStatus(root)) if n <= batch)
+        return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{name}/{n}" for n in there])
+
+    def accept(self, batch: int, records: DataFrame, accepted: bool = False, most: int = HOT) -> DataFrame | None:
+        """(first_id, dup_id) of the batch's repeats; the batch is appended. ``accepted``: it is taken as it is, without a look up.
+
+        records: id and DETAILS; ids rise in the order of arrival. A record's first is the first of the earliest record it matches,
+        and so on up. Exact copies in all details are repeats; only the first of them gets blocks. Records without any name and
+        contact match nothing; repeated ids are taken as one record; null ids are left out; an empty batch has no repeats.
+        """
+        some = "id is not null and (size(words) > 0 or size(phones) > 0 or web is not null or size(mails) > 0)"
+        new = self._write("records", batch, records.filter(some).select("id", *DETAILS, F.xxhash64(*DETAILS).alias("same")).dropDuplicates(["id"]))
+        self._write("words", batch, B.word_counts(new))
+        common = B.common_words(self._until("words", batch))
+        known = B.classify(new, common)
+        self._write("hosts", batch, B.host_counts(known))
+        # Exact copies: of the batch, and of the history where it has some of the same hash.
+        firsts = new.groupBy("same").agg(F.min("id").alias("first"))
+        if not accepted:
+            earlier = self._until("records", batch - 1).select("same", "id").join(firsts.select("same"), "same", "left_semi") if batch else new.select("same", "id")
+            firsts = earlier.unionByName(new.select("same", "id")).groupBy("same").agg(F.min("id").alias("first"))
+        copies = cut_lineage(new.select("id", "same").join(firsts, "same").filter("first < id").select(F.col("id").alias("b"), F.col("first").alias("a")))
+        own = known.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
+        # The stored tables hold every host and name: what marks no business is left out on the side that looks up.
+        hosts = F.array_distinct(F.array_compact(F.array("web", "mail_host")))
+        self._write("blocks", batch, B.entries(own.drop("stem").withColumns({"hosts": hosts, "own_mails": F.col("mails"), "chain": F.lit(False), "stem": F.col("words")})))
+        if accepted:
+            self._write("firsts", batch, copies)
+            return None
+        kinds = cut_lineage(B.host_kinds(self._until("hosts", batch)))
+        looked = cut_lineage(B.entries(B.with_hosts(own, kinds)))
+
+        def judge(pairs: DataFrame) -> DataFrame:
+            met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            rows = self._until("records", batch).drop("same").join(met, "id", "left_semi")
+            full = cut_lineage(B.with_hosts(B.classify(rows, common), kinds).select("id", *B.FEATURES))
+            return B.evidence(B.sides(pairs, full, full)).filter(B.same_business()).select("a", "b")
+
+        found = pairs_to_earlier(looked, self._until("blocks", batch), judge, most)
+        parents = found.groupBy("b").agg(F.min("a").alias("a")).unionByName(copies.select("b", "a"))
+        if self.schemas.get("firsts"):
+            up = self._until("firsts", batch - 1).select(F.col("b").alias("a"), F.col("a").alias("top"))
+            parents = parents.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("a"))
+        return self._write("firsts", batch, first_of(parents)).select(F.col("a").alias("first_id"), F.col("b").alias("dup_id"))
+
+
+def repeats(records: DataFrame, batch: str = "batch") -> DataFrame:
+    """(first_id, dup_id) of all records of batch 1 and later that repeat an earlier one: the batches are accepted one by one."""
+    history = History(records.sparkSession, scratch_dir(records.sparkSession, "history"))
+    rows = cut_lineage(records.select("id", batch, *DETAILS))
+    history.accept(0, rows.filter(F.col(batch) <= 0), accepted=True)
+    out = rows.select(F.col("id").alias("first_id"), F.col("id").alias("dup_id")).limit(0)
+    for r in rows.filter(F.col(batch) > 0).select(batch).distinct().orderBy(batch).collect():  # the numbers of batches
+        out = out.unionByName(history.accept(int(r[0]), rows.filter(F.col(batch) == r[0])))
+    return out

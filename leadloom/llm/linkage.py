@@ -16,7 +16,7 @@ from leadloom.llm import business as B
 from leadloom.llm.candidates import pairs_between
 from leadloom.shared import cut_lineage
 
-FUNCTIONS = ("phone", "host", "email", "own_name", "any_name", "branch", "line", "one_change")
+FUNCTIONS = ("phone", "host", "email", "own_name", "any_name", "branch", "line", "alone")
 #: Functions of more than this mutual information given the truth are modelled jointly, at most so many together.
 DEPENDENT, TOGETHER = 0.03, 3
 #: Rows with equal compared columns from which they are judged as one.
@@ -99,18 +99,25 @@ class LabelModel:
         return self._posterior(votes.astype(int) + 1)
 
 
+def votes_of(pairs: DataFrame) -> DataFrame:
+    """The votes of the functions on candidate pairs with both records' features. Besides those of business.evidence, alone speaks
+    against a line shared by different hosts without a name of their own in common, and against namesakes: a name that matches
+    while no contact does and some differ."""
+    name, phone, contacts = F.col("name"), F.col("phone"), (F.col("phone"), F.col("host"), F.col("email"))
+    agree = sum((F.when(c == 1, 1).otherwise(0) for c in contacts[1:]), F.when(contacts[0] == 1, 1).otherwise(0))
+    line = (agree == 1) & (phone == 1) & (F.col("host") == -1) & (F.col("generic") | (name != 1))
+    namesake = (agree == 0) & (name == 1) & (F.least(*contacts) == -1)
+    return B.evidence(pairs).withColumns({"alone": F.when(line | namesake, -1).otherwise(0), "own_name": F.when(~F.col("generic"), name).otherwise(0), "any_name": F.when(F.col("generic"), name).otherwise(0)}).select("a", "b", *FUNCTIONS)
+
+
 def judged(pairs: DataFrame) -> DataFrame:
-    """Votes and confidence of candidate pairs with both records' features."""
-    votes = B.evidence(pairs).withColumns({
-        "own_name": F.when(~F.col("generic"), F.col("name")).otherwise(0), "any_name": F.when(F.col("generic"), F.col("name")).otherwise(0),
-        "one_change": F.when(B.same_business(), 1).otherwise(-1),
-    }).select("a", "b", *FUNCTIONS)
-    votes = cut_lineage(votes)
+    """Votes and confidence of candidate pairs with both records' features. The model starts from the majority of votes."""
+    votes = cut_lineage(votes_of(pairs))
     seen = votes.groupBy(*FUNCTIONS).count().collect()  # at most 3 to the number of functions
     if not seen:
         return votes.withColumn("confidence", F.lit(0.0))
     patterns = np.array([[r[f] for f in FUNCTIONS] for r in seen])
-    model = LabelModel().fit(patterns, np.array([r["count"] for r in seen], float), (patterns[:, -1] > 0).astype(float))
+    model = LabelModel().fit(patterns, np.array([r["count"] for r in seen], float), (patterns.sum(1) > 0).astype(float))
     rows = [(*map(int, p), float(c)) for p, c in zip(patterns, model.confidence(patterns), strict=True)]
     table = votes.sparkSession.createDataFrame(rows, ", ".join(f"{f} int" for f in FUNCTIONS) + ", confidence double")
     return votes.join(F.broadcast(table), list(FUNCTIONS))
@@ -126,8 +133,8 @@ def link(left: DataFrame, right: DataFrame, sure: float = SURE) -> DataFrame:
     kept = ["words", "phones", "web", "mails", "mail_host"]
     some = "id is not null and (size(words) > 0 or size(phones) > 0 or web is not null or size(mails) > 0)"
     both = cut_lineage(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).filter(some).withColumn("class", F.xxhash64(*kept)))
-    common = B.common_words(both)
-    kinds = cut_lineage(B.host_kinds(B.classify(both, common)))
+    common = B.common_words(B.word_counts(both))
+    kinds = cut_lineage(B.host_kinds(B.host_counts(B.classify(both, common))))
     # Only what has many copies is collapsed: the rest are classes of one row.
     many = both.groupBy("side", "class").count().filter(F.col("count") > COPIES).select("side", "class", F.lit(True).alias("many"))
     both = both.join(many, ["side", "class"], "left").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(F.xxhash64("side", "id", "class")))
