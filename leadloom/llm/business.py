@@ -37,21 +37,24 @@ WORD_ROWS, WORD_REST, WORD_HOSTS = 6, 0.05, 5
 LISTED_WORDS = 20_000
 
 
-def phone_key(c: Column) -> Column:
-    """National digits: no extension, trunk zero or calling code; null if there aren't 7 to 13 digits."""
-    c = F.regexp_replace(F.lower(F.trim(c)), r"\s*(?:\bext(?:ension|n)?\.?|\bx)\s*\d+\s*$|\(0\)", "")
-    sheet = c.rlike(r"^'?\+?\d+\.0$")  # a number that went through a spreadsheet
-    digits = F.regexp_replace(F.when(sheet, F.regexp_replace(c, r"\.0$", "")).otherwise(c), r"\D+", "")
-    abroad = sheet | c.contains("+") | digits.startswith("00")
-    short = F.ltrim(digits, F.lit("0"))
-    key = F.when(abroad, F.ltrim(F.regexp_replace(short, f"^(?:{CODES})(?=\\d{{7}})", ""), F.lit("0"))).otherwise(short)
-    return F.when(F.length(key).between(7, 13), key)
+#: Keys are made in steps, each a projection of its own that uses the one before several times: in one expression every use would
+#: be evaluated again.
+PHONE_STEPS = (
+    lambda c: F.lower(F.trim(c)),
+    lambda c: F.when(c.contains("x") | c.contains("(0)"), F.regexp_replace(c, r"\s*(?:\bext(?:ension|n)?\.?|\bx)\s*\d+\s*$|\(0\)", "")).otherwise(c),
+    # a number that went through a spreadsheet is an international one
+    lambda c: F.when(c.endswith(".0") & c.rlike(r"^'?\+?\d+\.0$"), F.concat(F.lit("+"), F.left(c, F.length(c) - 2))).otherwise(c),
+    lambda c: F.concat(F.when(c.contains("+"), "+").otherwise(""), F.regexp_replace(c, r"\D+", "")),
+    lambda c: F.when(c.startswith("+") | c.startswith("00"), F.regexp_replace(F.ltrim(c, F.lit("+0")), f"^(?:{CODES})(?=\\d{{7}})", "")).otherwise(c),
+    lambda c: F.ltrim(c, F.lit("0")),
+    lambda c: F.when(F.length(c).between(7, 13), c),
+)
 
 
 def emails_of(c: Column) -> Column:
     """All addresses in a cell, lower case, without plus tags."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z0-9._%+'-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+)"), 1)
-    return F.array_distinct(F.transform(found, lambda e: F.regexp_replace(e, r"\+[^@]*@", "@")))
+    return F.array_distinct(F.transform(found, lambda e: F.when(e.contains("+"), F.regexp_replace(e, r"\+[^@]*@", "@")).otherwise(e)))
 
 
 def host_of(c: Column) -> Column:
@@ -60,21 +63,41 @@ def host_of(c: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^(?:www\.|m\.)+", ""), F.lit(""))
 
 
-def name_words(c: Column) -> Column:
+NAME_STEPS = (
+    lambda c: F.lower(F.coalesce(c, F.lit(""))),
+    lambda c: F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(c),
+    lambda c: F.when(c.contains("&"), F.replace(F.replace(c, F.lit("&amp;"), F.lit(" and ")), F.lit("&"), F.lit(" and "))).otherwise(c),
+    lambda c: F.when(c.contains("."), F.regexp_replace(c, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")).otherwise(c),
+    lambda c: F.when(c.contains("|"), F.regexp_replace(F.regexp_replace(c, "[-.]", " "), PRAISE, " ")).otherwise(c),
+    lambda c: F.split(F.translate(c, "'’`", ""), r"[^a-z0-9\P{ASCII}]+|[^\p{L}\p{N}]+"),
+    lambda c: F.sort_array(F.array_except(c, F.array(*[F.lit(w) for w in ("", *IDLE)]))),
+)
+
+
+def in_steps(df: DataFrame, columns: dict[str, tuple]) -> DataFrame:
+    """The columns, each put through its steps one after the other."""
+    for k in range(max(map(len, columns.values()))):
+        df = df.withColumns({c: steps[k](F.col(c)) for c, steps in columns.items() if k < len(steps)})
+    return df
+
+
+def phone_key(df: DataFrame, *columns: str) -> DataFrame:
+    """National digits: no extension, trunk zero or calling code; null if there aren't 7 to 13 digits."""
+    return in_steps(df, dict.fromkeys(columns, PHONE_STEPS))
+
+
+def name_words(df: DataFrame, column: str) -> DataFrame:
     """Words of a name without marks, legal forms and praise, as a sorted set."""
-    c = F.lower(F.coalesce(c, F.lit("")))
-    c = F.when(c.rlike(r"[^\x00-\x7f]"), folded(c)).otherwise(c)
-    c = F.when(c.contains("&"), F.replace(F.replace(c, F.lit("&amp;"), F.lit(" and ")), F.lit("&"), F.lit(" and "))).otherwise(c)
-    c = F.translate(F.when(c.contains("."), F.regexp_replace(c, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")).otherwise(c), "'’`", "")
-    c = F.when(c.contains("|"), F.regexp_replace(F.regexp_replace(c, "[-.]", " "), PRAISE, " ")).otherwise(c)
-    return F.sort_array(F.array_except(F.split(c, r"[^a-z0-9\P{ASCII}]+|[^\p{L}\p{N}]+"), F.array(*[F.lit(w) for w in ("", *IDLE)])))
+    return in_steps(df, {column: NAME_STEPS})
 
 
 def prepare(df: DataFrame, key: str, name: str, phones: list[str], website: str, email: str) -> DataFrame:
     """(id, words, phones, web, mails, mail_host) of each row."""
     lines = [f"p{k}" for k in range(len(phones))]
     raw = df.select(F.col(key).alias("id"), F.col(name).alias("n"), F.col(website).alias("u"), F.col(email).alias("e"), *[F.col(p).alias(c) for p, c in zip(phones, lines, strict=True)])
-    out = pinned(raw, {"words": name_words(F.col("n")), "web": host_of(F.col("u")), "mails": emails_of(F.col("e")), **{c: phone_key(F.col(c)) for c in lines}})
+    out = in_steps(raw, {"n": NAME_STEPS, "u": (host_of,), "e": (emails_of,), **dict.fromkeys(lines, PHONE_STEPS)})
+    # A generator between, or filters on the keys would be pushed below and evaluate them again.
+    out = pinned(out, {"words": F.col("n"), "web": F.col("u"), "mails": F.col("e"), **{c: F.col(c) for c in lines}})
     found = F.array_compact(F.array(*lines))
     found = F.sort_array(F.array_distinct(found)) if len(lines) > 1 else found
     return out.select("id", "words", found.alias("phones"), "web", "mails", F.substring_index(F.try_element_at("mails", F.lit(1)), "@", -1).alias("mail_host"))

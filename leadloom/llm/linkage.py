@@ -136,9 +136,13 @@ def link(left: DataFrame, right: DataFrame, sure: float = SURE) -> DataFrame:
     common = B.common_words(B.word_counts(both))
     kinds = cut_lineage(B.host_kinds(B.host_counts(B.classify(both, common))))
     # Only what has many copies is collapsed: the rest are classes of one row.
-    many = both.groupBy("side", "class").count().filter(F.col("count") > COPIES).select("side", "class", F.lit(True).alias("many"))
-    both = both.join(many, ["side", "class"], "left").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(F.xxhash64("side", "id", "class")))
-    each = both.filter("many is null").unionByName(both.filter("many").dropDuplicates(["side", "class"]))
+    many = cut_lineage(both.groupBy("side", "class").count().filter(F.col("count") > COPIES).select("side", "class", F.lit(True).alias("many")))
+    alone = F.xxhash64("side", "id", "class")
+    if many.isEmpty():
+        both = each = both.withColumn("class", alone)
+    else:
+        both = both.join(many, ["side", "class"], "left").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(alone))
+        each = both.filter("many is null").unionByName(both.filter("many").dropDuplicates(["side", "class"]))
     named = each.select("side", F.col("class").alias("id"), *kept)
     full = cut_lineage(B.with_hosts(B.classify(named, common), kinds).select("side", "id", *B.FEATURES))
     a, b = full.filter("side = 0").drop("side"), full.filter("side = 1").drop("side")
