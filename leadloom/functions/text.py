@@ -56,9 +56,9 @@ def normalize_cid(c: Column) -> Column:
 
 
 def chain_key(c: Column) -> Column:
-    """A name up to a spaced dash or bar or a bracket: letters, digits and single blanks in lower case."""
-    head = F.element_at(F.split(F.coalesce(c, F.lit("")), r"\s[-–—|]\s|\("), 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(head), "[^a-z0-9 ]", ""), " +", " "))
+    """A name up to a spaced dash or bar or a bracket: letters, digits and single blanks in lower case, blanks for all else."""
+    head = F.element_at(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+[-–—|]\s+|\("), 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(head), "[^a-z0-9 ]", " "), r"\s+", " "))
 
 
 def brand_key(c: Column) -> Column:
@@ -69,13 +69,15 @@ def brand_key(c: Column) -> Column:
 
 
 def display_name(c: Column) -> Column:
-    """Names mostly in capitals get capitalised words; three letters or more, others stay."""
-    words = F.split(F.coalesce(c, F.lit("")), " ")
-    alpha = F.filter(words, lambda w: w.rlike("[A-Za-z]"))
-    loud = lambda w: (w == F.upper(w)) & (F.length(F.regexp_replace(w, "[^A-Za-z]", "")) >= 3)
-    mostly = F.size(F.filter(alpha, loud)) * 2 >= F.size(alpha)
-    fixed = F.array_join(F.transform(words, lambda w: F.when(w.rlike("[A-Za-z]") & loud(w), F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))).otherwise(w)), " ")
-    return F.when((F.size(alpha) > 0) & mostly, fixed).otherwise(F.coalesce(c, F.lit("")))
+    """A name of which at least half the words of two letters or more are in capitals gets its words of three or more capitals
+    capitalised, single blanks between; other names stay as they are. Words with digits and short ones stay."""
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    core = lambda w: F.regexp_replace(w, r"[()&,.\-]", "")
+    alpha = F.filter(words, lambda w: core(w).rlike("^[A-Za-z]{2,}$"))
+    upper = F.filter(alpha, lambda w: core(w).rlike("^[A-Z]+$"))
+    capital = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))
+    fixed = lambda w: F.when(~core(w).rlike("^[A-Z]{3,}$"), w).when(w.startswith("("), F.concat(F.lit("("), capital(F.substr(w, F.lit(2))))).otherwise(capital(w))
+    return F.when((F.size(alpha) > 0) & (F.size(upper) * 2 >= F.size(alpha)), F.array_join(F.transform(words, fixed), " ")).otherwise(c)
 
 
 def address_parts(c: Column) -> Column:
@@ -130,12 +132,13 @@ def location(*parts: Column) -> Column:
 
 
 def shorten(c: Column, most: int) -> Column:
-    """At most ``most`` characters: cut behind a sentence in the second half, else behind a word, ' ...' added."""
+    """At most ``most`` characters: cut behind the last sentence if that ends in the second half, else before the last blank and
+    closing marks; ' ...' added."""
     head = F.left(c, F.lit(most))
-    sentence = F.lit(most) - F.locate(".", F.reverse(head)) + 1
-    blank = F.lit(most) - F.locate(" ", F.reverse(head))
-    ends = F.when((F.locate(".", F.reverse(head)) > 0) & (sentence >= most // 2), F.left(head, sentence)).when(F.locate(" ", F.reverse(head)) > 0, F.left(head, blank)).otherwise(head)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(ends, F.lit(" ...")))
+    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
+    word = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(head, r"(?s)^(.+) ", 1), F.lit("")), head), r"[ ,;:\-]+$", "")
+    cut = F.when(F.length(sentence) - 1 >= most * 0.5, sentence).otherwise(word)
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(cut, F.lit(" ...")))
 
 
 def safe_text(c: Column) -> Column:
@@ -161,7 +164,7 @@ def printable(c: Column) -> Column:
 def parse_issues(c: Column) -> Column:
     """'SEVERITY: text; ...' as structs of severity (MEDIUM without one) and text, in order."""
     parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p != "")
-    rx = r"(?s)^([A-Za-z]+)\s*:\s*(.*)$"
+    rx = r"^([A-Za-z]+)\s*:\s*([^\n]+)$"
     known = lambda p: F.upper(F.regexp_extract(p, rx, 1)).isin(*SEVERITY)
     return F.transform(parts, lambda p: F.struct(F.when(known(p), F.upper(F.regexp_extract(p, rx, 1))).otherwise("MEDIUM").alias("severity"), F.when(known(p), F.regexp_extract(p, rx, 2)).otherwise(p).alias("text")))
 
@@ -190,9 +193,14 @@ def error_label(c: Column) -> Column:
 
 
 def lead_id(maps_url: Column, website: Column, phone: Column, name: Column) -> Column:
-    """16 hex digits of the map link's md5, else of domain and phone, else of the name, else of 'unknown'."""
-    both = F.concat(F.trim(F.coalesce(website, F.lit(""))), F.lit("|"), F.trim(F.coalesce(phone, F.lit(""))))
-    base = F.coalesce(F.nullif(F.trim(maps_url), F.lit("")), F.nullif(both, F.lit("|")), F.nullif(F.trim(name), F.lit("")), F.lit("unknown"))
+    """16 hex digits of the md5 of the map link in lower case, else of the website's domain and the phone's last ten digits, else of
+    the name in lower case, else of 'unknown'."""
+    from leadloom.functions.contact import phone_last10
+    from leadloom.functions.url import domain_key
+
+    plain = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    both = F.concat(F.coalesce(domain_key(website), F.lit("")), F.lit("|"), F.coalesce(phone_last10(phone), F.lit("")))
+    base = F.coalesce(F.nullif(plain(maps_url), F.lit("")), F.nullif(both, F.lit("|")), F.nullif(plain(name), F.lit("")), F.lit("unknown"))
     return F.left(F.md5(base), F.lit(16))
 
 
@@ -217,3 +225,24 @@ def has_word(c: Column, terms: list[str]) -> Column:
     import re
 
     return F.lower(F.coalesce(c, F.lit(""))).rlike(r"(?:^|[^a-z0-9_])(?:" + "|".join(re.escape(t.lower()) for t in terms) + r")(?:[^a-z0-9_]|$)")
+
+
+def short_number(c: Column) -> Column:
+    """A double as text without a closing .0."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
+#: Gaps that can be sold: flag and label (fixed values).
+SCOPE_GAPS = (
+    ("has_chatbot", "AI chatbot / instant replies"), ("has_lead_form", "lead-capture form"), ("has_phone_cta", "tap-to-call button"), ("has_appointment_booking", "online appointment booking"),
+)
+
+
+def gap_labels() -> Column:
+    """The labels of the flags that are false; unknown ones are no gaps."""
+    return F.array_compact(F.array(*[F.when(~F.col(f), F.lit(label)) for f, label in SCOPE_GAPS]))
+
+
+def priority_rank(c: Column) -> Column:
+    """HOT, WARM, COLD, and all else last."""
+    return _rank(F.upper(F.trim(c)), {"HOT": 0, "WARM": 1, "COLD": 2}, 3)

@@ -73,31 +73,38 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str,
     The replaced row hands on ``keep_columns`` (filled by hand) where the new one has none, and ``first_column`` (when it was
     first seen); new rows come behind all others; columns of either side stay. Among existing rows with one key the last counts.
     """
+    handed = [*keep_columns, first_column]
+    # One row is met: by the first key that meets, the last of its rows. Names of our own can't clash with a user's.
+    own = lambda name: f"__upsert_{name}"
     merged = new
-    found: dict[str, list[Column]] = {c: [] for c in (*keep_columns, first_column)}
     for i, k in enumerate(keys):
-        last = existing.filter(_keyed(k)).groupBy(F.col(k).alias(f"_k{i}")).agg(*[F.max_by(c, order).alias(f"_{c}{i}") for c in found])
-        merged = merged.join(last, F.col(k) == F.col(f"_k{i}"), "left")
-        for c in found:
-            found[c].append(F.col(f"_{c}{i}"))
+        last = existing.filter(_keyed(k)).groupBy(F.col(k).alias(own(f"key{i}"))).agg(F.max_by(F.struct(*handed), order).alias(own(f"row{i}")))
+        merged = merged.join(last, F.col(k) == F.col(own(f"key{i}")), "left").drop(own(f"key{i}"))
+    merged = merged.withColumn(own("met"), F.coalesce(*[F.col(own(f"row{i}")) for i in range(len(keys))])).drop(*[own(f"row{i}") for i in range(len(keys))])
     for c in keep_columns:
-        own = [F.nullif(F.col(c).cast("string"), F.lit(""))] if c in new.columns else []
-        merged = merged.withColumn(c, F.coalesce(*own, *found[c]))
-    merged = merged.withColumn(first_column, F.coalesce(*found[first_column], stamp))
-    merged = merged.select(*[c for c in merged.columns if not c.startswith("_")]).withColumn("_new", F.lit(1))
+        mine = [F.nullif(F.col(c).cast("string"), F.lit(""))] if c in new.columns else []
+        merged = merged.withColumn(c, F.coalesce(*mine, F.col(own("met"))[c]))
+    first = F.col(own("met"))[first_column]
+    merged = merged.withColumn(first_column, F.coalesce(F.nullif(F.trim(first.cast("string")), F.lit("")).cast(existing.schema[first_column].dataType), stamp)).drop(own("met")).withColumn("_new", F.lit(1))
     both = existing.withColumn("_new", F.lit(0)).unionByName(merged, allowMissingColumns=True)
     both = both.withColumn("_at", F.struct("_new", order))
     return first_by_keys(both, keys, "_at", keep="last").drop("_new", "_at")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds a number from 1 in the given order, by range partitions and their sizes, not in one task."""
+    parts = cut_lineage(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_from"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
+    return parts.join(F.broadcast(before.drop("_n")), "_p").withColumn(name, F.col("_before") + F.col("_i") - F.col("_from") + 1).drop("_p", "_i", "_from", "_before")
+
+
 def next_ids(df: DataFrame, current: DataFrame, id_column: str, order: str) -> DataFrame:
     """Ids that go on from the largest valid one, in order. Rows are numbered by range partitions and their sizes, not in one
     task."""
     top = current.select(F.coalesce(F.max(F.col(id_column).try_cast("int")), F.lit(0)).alias("_top"))
-    parts = cut_lineage(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_from"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
-    return parts.join(F.broadcast(before), "_p").crossJoin(F.broadcast(top)).withColumn(id_column, (F.col("_top") + F.col("_before") + F.col("_i") - F.col("_from") + 1).cast("int")).drop("_p", "_i", "_n", "_from", "_before", "_top")
+    rows = numbered(df, order, "_place")
+    return rows.crossJoin(F.broadcast(top)).withColumn(id_column, (F.col("_top") + F.col("_place")).cast("int")).drop("_place", "_top")  # one row beside
 
 
 def runs(df: DataFrame, order: str, value: str, group: str) -> DataFrame:

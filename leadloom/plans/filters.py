@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.functions import audit as A
 from leadloom.functions import text as T
+from leadloom.operators.criteria import lead_score
 from leadloom.shared import table
 
 QUERIES: dict = {}
@@ -22,14 +24,6 @@ def query(sql: str | None = None):
     return put
 
 
-def lead_score(negatives, reviews, rating):
-    """20 for each of up to three negative reviews, up to 25 for few reviews, up to 15 for a rating short of perfect."""
-    neg, n, r = (F.coalesce(c, F.lit(0)) for c in (negatives, reviews, rating))
-    few = F.when(n.between(1, 50), 25).when(n.between(51, 100), 15).when(n.between(101, 200), 5).otherwise(0)
-    short = F.when((r > 0) & (r < 4.5), 15).when((r > 0) & (r < 4.8), 10).otherwise(0)
-    return (F.least(neg, F.lit(3)) * 20 + few + short).cast("int")
-
-
 _SCORE = """CAST(least({neg}, 3) * 20 + CASE WHEN {n} BETWEEN 1 AND 50 THEN 25 WHEN {n} BETWEEN 51 AND 100 THEN 15 WHEN {n} BETWEEN 101 AND 200 THEN 5 ELSE 0 END
     + CASE WHEN {r} > 0 AND {r} < 4.5 THEN 15 WHEN {r} > 0 AND {r} < 4.8 THEN 10 ELSE 0 END AS INTEGER)"""
 
@@ -97,28 +91,33 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "audited_leads").groupBy(label.alias("label")).agg(F.count("*").alias("leads"))
 
 
-BLOCK_SIGNS = ("access denied", "are you a robot", "attention required", "verify you are human", "enable javascript and cookies", "captcha")
+def _first_sign(text: str, signs) -> str:
+    return "CASE " + " ".join(f"WHEN contains({text}, '{s}') THEN '{s}'" for s in signs) + " END"
+
+
+def _any_sign(text: str, signs) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{s}')" for s in signs) + ")"
 
 
-@query(f"SELECT doc_id, regexp_matches(lower(left(coalesce(text, ''), 2000)), '{'|'.join(BLOCK_SIGNS)}') AS blocked FROM documents")
+@query(f"SELECT doc_id, {_first_sign("lower(' ' || left(coalesce(text, ''), 2000))", A.BLOCK_SIGNS)} AS sign FROM documents")
 def block_page_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signs count within the first 2000 characters: that prefix is the detector's rule, not a cap."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(2000))).rlike("|".join(BLOCK_SIGNS)).alias("blocked"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.block_sign(F.lit(None).cast("string"), F.col("text")).alias("sign"))
 
 
-WHATSAPP = ("wa.me/", "api.whatsapp.com", "whatsapp")
-BOOKING = ("book now", "book online", "book an appointment", "schedule", "reserve a table", "book a")
-TRUST = "testimonial|review|rated|certified|award|five stars|years of experience"
+@query(f"SELECT doc_id, {_first_sign("lower(left(coalesce(text, ''), 20000))", A.CHALLENGE_SIGNS)} AS sign FROM documents")
+def challenge_page_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs count within the first 20000 characters: that prefix is the detector's rule, not a cap."""
+    return table(spark, sf_dir, "documents").select("doc_id", A.challenge_sign(F.col("text")).alias("sign"))
 
 
 @query(f"""
     WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
-    SELECT doc_id, regexp_matches(t, '{"|".join(w.replace(".", "[.]") for w in WHATSAPP)}') AS whatsapp, regexp_matches(t, '{"|".join(BOOKING)}') AS booking, regexp_matches(t, '(^|[^a-z])({TRUST})') AS trust FROM t
+    SELECT doc_id, {_any_sign("t", A.WHATSAPP_SIGNS)} AS whatsapp, {_any_sign("t", A.BOOKING_SIGNS)} AS booking, regexp_matches(t, '(^|[^a-z])({"|".join(A.TRUST_SIGNS)})([^a-z]|$)') AS trust FROM t
 """)
 def page_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.lower(F.coalesce("text", F.lit("")))
-    has = lambda signs: F.exists(F.array(*map(F.lit, signs)), lambda s: F.contains(t, s))
-    return table(spark, sf_dir, "documents").select("doc_id", has(WHATSAPP).alias("whatsapp"), has(BOOKING).alias("booking"), t.rlike(f"(^|[^a-z])({TRUST})").alias("trust"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.has_sign(t, A.WHATSAPP_SIGNS).alias("whatsapp"), A.has_sign(t, A.BOOKING_SIGNS).alias("booking"), t.rlike(A.TRUST).alias("trust"))
 
 
 FLAGS = ("has_chatbot", "has_whatsapp", "has_lead_form", "has_phone_cta", "has_appointment_booking", "has_trust_signals", "has_local_schema")

@@ -58,7 +58,7 @@ def domain_phone_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH k AS (SELECT lead_id, trim(regexp_replace(regexp_replace(lower(regexp_split_to_array(coalesce(business_name, ''), '\s[-–—|]\s|\(')[1]), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS k FROM audited_leads)
+    WITH k AS (SELECT lead_id, trim(regexp_replace(regexp_replace(lower(regexp_split_to_array(trim(coalesce(business_name, '')), '\s+[-–—|]\s+|\(')[1]), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM audited_leads)
     SELECT lead_id, CAST(CASE WHEN k = '' THEN 0 ELSE count(*) OVER (PARTITION BY k) END AS BIGINT) AS branches FROM k
 """)
 def chain_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +69,25 @@ def chain_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH w AS (SELECT sheet_id, list_filter(regexp_extract_all(lower(string_split(regexp_replace(coalesce(business_name, ''), '\(.*?\)', ' ', 'g'), ' - ')[1]), '[a-z0-9]+'), lambda x: x NOT IN {T.BRAND_STOP}) AS b FROM call_sheet),
-         k AS (SELECT sheet_id, b[1] || ' ' || b[2] AS brand FROM w WHERE len(b) >= 2)
-    SELECT brand, CAST(count(*) AS BIGINT) AS n, min(sheet_id) AS primary_id FROM k GROUP BY 1 HAVING count(*) >= 2
+    WITH w AS (SELECT lead_id, business_name, coalesce(try_cast(replace(trim(review_count), ',', '') AS DOUBLE), 0) AS n, coalesce(try_cast(replace(trim(rating), ',', '') AS DOUBLE), 0) AS r,
+                      list_filter(regexp_extract_all(lower(string_split(regexp_replace(coalesce(business_name, ''), '\(.*?\)', ' ', 'g'), ' - ')[1]), '[a-z0-9]+'), lambda x: x NOT IN {T.BRAND_STOP}) AS b FROM audited_leads),
+         k AS (SELECT lead_id, business_name, b[1] || ' ' || b[2] AS brand, row_number() OVER (PARTITION BY b[1] || ' ' || b[2] ORDER BY n DESC, r DESC, lead_id) AS place,
+                      first_value(business_name) OVER (PARTITION BY b[1] || ' ' || b[2] ORDER BY n DESC, r DESC, lead_id) AS main, count(*) OVER (PARTITION BY b[1] || ' ' || b[2]) AS members FROM w WHERE len(b) >= 2)
+    SELECT lead_id, brand, place > 1 AS brand_skip, CASE WHEN place = 1 THEN 'keep: main branch of same brand (also: ' || (members - 1) || ' others)' ELSE 'skip: same brand as ' || main || ' (more reviews)' END AS brand_duplicate
+    FROM k WHERE members >= 2
 """)
 def brand_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands met twice or more, their rows and the one that stays. Aggregated, not collected: a brand may be any share of the rows."""
-    rows = table(spark, sf_dir, "call_sheet").select("sheet_id", T.brand_key(F.col("business_name")).alias("brand")).filter("brand <> ''")
-    return rows.groupBy("brand").agg(F.count("*").alias("n"), F.min("sheet_id").alias("primary_id")).filter("n >= 2")
+    """Branches of a brand met twice or more: that of most reviews, then the best rating, then the first stays, the others are marked.
+
+    The main branch is found by a partial aggregation and joined back, as a brand may be any share of the rows; so the note of the
+    main branch says how many others there are instead of naming all of them.
+    """
+    number = lambda c: F.coalesce(T.number(F.col(c)), F.lit(0.0))
+    rows = table(spark, sf_dir, "audited_leads").select("lead_id", "business_name", T.brand_key(F.col("business_name")).alias("brand"), F.struct(number("review_count").alias("n"), number("rating").alias("r"), (-F.col("lead_id")).alias("o")).alias("rank")).filter("brand <> ''")
+    main = rows.groupBy("brand").agg(F.max_by("lead_id", "rank").alias("main_id"), F.max_by("business_name", "rank").alias("main"), F.count("*").alias("members")).filter("members >= 2")
+    first = F.col("lead_id") == F.col("main_id")
+    note = F.when(first, F.concat(F.lit("keep: main branch of same brand (also: "), (F.col("members") - 1).cast("string"), F.lit(" others)"))).otherwise(F.concat(F.lit("skip: same brand as "), "main", F.lit(" (more reviews)")))
+    return rows.join(main, "brand").select("lead_id", "brand", (~first).alias("brand_skip"), note.alias("brand_duplicate"))
 
 
 _PLAIN = r"regexp_replace(trim(coalesce({c}, '')), '[\s\-()]', '', 'g')"
@@ -98,17 +109,85 @@ def status_name_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.without(table(spark, sf_dir, "permanent_leads").select("i_d", name), table(spark, sf_dir, "outreach_status").select(name), ["n"]).select("i_d")
 
 
-@query("""
-    WITH done AS (SELECT coalesce(nullif(trim(google_maps_url), ''), coalesce(business_name, '') || '|' || coalesce(website, '')) AS k FROM audited_leads WHERE audit_status IS DISTINCT FROM 'FAILED')
-    SELECT lead_id FROM audited_leads WHERE coalesce(nullif(trim(google_maps_url), ''), coalesce(business_name, '') || '|' || coalesce(website, '')) NOT IN (SELECT k FROM done)
+_LEAD_KEY = "coalesce(nullif(trim(google_maps_url), ''), lower(trim(coalesce(business_name, ''))) || '|' || lower(trim(coalesce(website, ''))))"
+
+
+@query(f"""
+    SELECT lead_id FROM audited_leads WHERE {_LEAD_KEY} NOT IN (SELECT {_LEAD_KEY} FROM audited_leads WHERE audit_status IS DISTINCT FROM 'FAILED')
 """)
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads whose key has no audit that succeeded: what a resumed run still has to do."""
-    key = F.coalesce(F.nullif(F.trim("google_maps_url"), F.lit("")), F.concat(F.coalesce("business_name", F.lit("")), F.lit("|"), F.coalesce("website", F.lit(""))))
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    key = F.coalesce(F.nullif(F.trim("google_maps_url"), F.lit("")), F.concat(plain("business_name"), F.lit("|"), plain("website")))
     rows = table(spark, sf_dir, "audited_leads").select("lead_id", "audit_status", key.alias("k"))
     return I.without(rows, rows.filter(~F.col("audit_status").eqNullSafe("FAILED")).select("k"), ["k"]).select("lead_id")
 
 
+@query(f"""
+    SELECT i_d FROM permanent_leads
+    WHERE ({_PLAIN.format(c="phone")} = '' OR {_PLAIN.format(c="phone")} NOT IN (SELECT {_PLAIN.format(c="phone")} FROM audited_leads))
+      AND (lower(trim(coalesce(website, ''))) = '' OR lower(trim(coalesce(website, ''))) NOT IN (SELECT lower(trim(coalesce(website, ''))) FROM audited_leads))
+""")
+def master_history_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share neither of two identities with the history; empty ones are none."""
+    keys = lambda name, *more: table(spark, sf_dir, name).select(*more, C.phone_plain(F.col("phone")).alias("p"), F.lower(F.trim(F.coalesce("website", F.lit("")))).alias("w"))
+    return I.without(keys("permanent_leads", "i_d"), keys("audited_leads"), ["p", "w"]).select("i_d")
+
+
+_NAME = r"lower(trim(regexp_replace(coalesce(business_name, ''), '\s+', ' ', 'g')))"
+
+
+@query(f"""
+    SELECT lead_id FROM audited_leads
+    WHERE ({_NAME} = '' OR {_NAME} NOT IN (SELECT {_NAME} FROM outreach_status)) AND (lower(trim(coalesce(email, ''))) = '' OR lower(trim(coalesce(email, ''))) NOT IN (SELECT lower(trim(coalesce(email, ''))) FROM outreach_status))
+""")
+def contacted_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads that were contacted under neither of their identity and their name."""
+    keys = lambda name, *more: table(spark, sf_dir, name).select(*more, T.norm_name(F.col("business_name")).alias("n"), F.lower(F.trim(F.coalesce("email", F.lit("")))).alias("e"))
+    return I.without(keys("audited_leads", "lead_id"), keys("outreach_status"), ["n", "e"]).select("lead_id")
+
+
+@query("""
+    SELECT lead_id FROM audited_leads WHERE input_id IS NULL OR input_id = '' OR input_id NOT IN (SELECT input_id FROM audited_leads WHERE audit_status = 'OK' AND input_id IS NOT NULL)
+""")
+def resume_ids_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads whose id has not been processed yet."""
+    rows = table(spark, sf_dir, "audited_leads").select("lead_id", "input_id", "audit_status")
+    return I.without(rows, rows.filter("audit_status = 'OK'").select("input_id"), ["input_id"]).select("lead_id")
+
+
+@query("""
+    SELECT sheet_id, business_name, phone, email, priority, NULL::INTEGER AS i_d, NULL::INTEGER AS batch_no FROM call_sheet
+    UNION ALL SELECT NULL, business_name, phone, email, priority, i_d, batch_no FROM permanent_leads
+""")
+def outer_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two tables under all columns of either."""
+    a = table(spark, sf_dir, "call_sheet").select("sheet_id", "business_name", "phone", "email", "priority")
+    return a.unionByName(table(spark, sf_dir, "permanent_leads").select("i_d", "batch_no", "business_name", "phone", "email", "priority"), allowMissingColumns=True)
+
+
+@query("""
+    SELECT CAST(coalesce(max(sheet_id), 0) + 1 AS BIGINT) AS first_empty FROM call_sheet
+    WHERE trim(coalesce(business_name, '')) <> '' OR trim(coalesce(website, '')) <> '' OR trim(coalesce(phone, '')) <> '' OR trim(coalesce(email, '')) <> ''
+""")
+def first_empty_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row behind the last that is a lead: one with something in any of four columns."""
+    some = F.concat(*[F.trim(F.coalesce(c, F.lit(""))) for c in ("business_name", "website", "phone", "email")]) != ""
+    return table(spark, sf_dir, "call_sheet").filter(some).agg((F.coalesce(F.max("sheet_id"), F.lit(0)) + 1).cast("bigint").alias("first_empty"))
+
+
+@query("SELECT sheet_id, CASE upper(trim(priority)) WHEN 'HOT' THEN 0 WHEN 'WARM' THEN 1 WHEN 'COLD' THEN 2 ELSE 3 END AS place FROM call_sheet ORDER BY place, sheet_id")
+def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet from hot to cold, all else last; ties stay in order."""
+    return table(spark, sf_dir, "call_sheet").select("sheet_id", T.priority_rank(F.col("priority")).alias("place")).orderBy("place", "sheet_id")
+
+
+@query("SELECT lead_id, business_name FROM audited_leads ORDER BY lead_id LIMIT 50")
+def first_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the feature: the first rows in order."""
+    return table(spark, sf_dir, "audited_leads").select("lead_id", "business_name").orderBy("lead_id").limit(50)
+
+
 @query(f"""
     WITH r AS (SELECT i_d, {_PLAIN.format(c="phone")} AS p FROM permanent_leads), w AS (SELECT i_d, p, row_number() OVER (PARTITION BY p ORDER BY i_d) AS n FROM r)
     SELECT i_d FROM w WHERE p = '' OR n = 1

@@ -137,7 +137,7 @@ def area_pincode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT lead_id, trim(regexp_replace(regexp_replace(lower(regexp_split_to_array(coalesce(business_name, ''), '\s[-–—|]\s|\(')[1]), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS chain_key,
+    SELECT lead_id, trim(regexp_replace(regexp_replace(lower(regexp_split_to_array(trim(coalesce(business_name, '')), '\s+[-–—|]\s+|\(')[1]), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS chain_key,
            lower(trim(regexp_replace(coalesce(business_name, ''), '\s+', ' ', 'g'))) AS name_key FROM audited_leads
 """)
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +146,13 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH w AS (SELECT sheet_id, coalesce(business_name, '') AS name, string_split(coalesce(business_name, ''), ' ') AS words,
+    WITH w AS (SELECT sheet_id, business_name AS name, list_filter(regexp_split_to_array(business_name, '\s+'), lambda x: x <> '') AS words,
                       list_filter(regexp_extract_all(lower(string_split(regexp_replace(coalesce(business_name, ''), '\(.*?\)', ' ', 'g'), ' - ')[1]), '[a-z0-9]+'), lambda x: x NOT IN {T.BRAND_STOP}) AS b FROM call_sheet),
-         k AS (SELECT *, list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]')) AS alpha FROM w)
+         k AS (SELECT *, list_filter(words, lambda x: regexp_full_match(regexp_replace(x, '[()&,.\-]', '', 'g'), '[A-Za-z]{{2,}}')) AS alpha FROM w)
     SELECT sheet_id, CASE WHEN len(b) >= 2 THEN b[1] || ' ' || b[2] ELSE '' END AS brand,
-           CASE WHEN len(alpha) > 0 AND 2 * len(list_filter(alpha, lambda x: x = upper(x) AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 3)) >= len(alpha)
-                THEN array_to_string(list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[A-Za-z]') AND x = upper(x) AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 3
-                     THEN upper(left(x, 1)) || lower(substr(x, 2)) ELSE x END), ' ') ELSE name END AS display FROM k
+           CASE WHEN len(alpha) > 0 AND 2 * len(list_filter(alpha, lambda x: regexp_full_match(regexp_replace(x, '[()&,.\-]', '', 'g'), '[A-Z]+'))) >= len(alpha)
+                THEN array_to_string(list_transform(words, lambda x: CASE WHEN NOT regexp_full_match(regexp_replace(x, '[()&,.\-]', '', 'g'), '[A-Z]{{3,}}') THEN x WHEN x LIKE '(%' THEN '(' || upper(substr(x, 2, 1)) || lower(substr(x, 3))
+                     ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ') ELSE name END AS display FROM k
 """)
 def brand_and_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("business_name")
@@ -196,8 +196,8 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ISSUES = r"""
     p AS (SELECT lead_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT lead_id, list_filter(list_transform(string_split(coalesce(top_issues, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS a FROM audited_leads)),
-    s AS (SELECT lead_id, i, CASE WHEN upper(regexp_extract(x, '^([A-Za-z]+)\s*:\s*(.*)$', 1, 's')) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN upper(regexp_extract(x, '^([A-Za-z]+)\s*:\s*(.*)$', 1, 's')) ELSE 'MEDIUM' END AS severity,
-                 CASE WHEN upper(regexp_extract(x, '^([A-Za-z]+)\s*:\s*(.*)$', 1, 's')) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN regexp_extract(x, '^([A-Za-z]+)\s*:\s*(.*)$', 2, 's') ELSE x END AS text FROM p)
+    s AS (SELECT lead_id, i, CASE WHEN upper(regexp_extract(x, '^([A-Za-z]+)\s*:\s*([^\n]+)$', 1)) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN upper(regexp_extract(x, '^([A-Za-z]+)\s*:\s*([^\n]+)$', 1)) ELSE 'MEDIUM' END AS severity,
+                 CASE WHEN upper(regexp_extract(x, '^([A-Za-z]+)\s*:\s*([^\n]+)$', 1)) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN regexp_extract(x, '^([A-Za-z]+)\s*:\s*([^\n]+)$', 2) ELSE x END AS text FROM p)
 """
 
 
@@ -241,7 +241,9 @@ def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH t AS (SELECT lead_id, coalesce(nullif(trim(google_maps_url), ''), nullif(trim(coalesce(website, '')) || '|' || trim(coalesce(phone, '')), '|'), nullif(trim(business_name), ''), 'unknown') AS k FROM audited_leads)
+    WITH r AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(lower(trim(coalesce(website, ''))), '^https?://', ''), '^www\.', ''), '^([^/]*)', 1) AS d,
+                      CASE WHEN length(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g')) >= 7 THEN right(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), 10) ELSE '' END AS p FROM audited_leads),
+         t AS (SELECT lead_id, coalesce(nullif(lower(trim(google_maps_url)), ''), nullif(d || '|' || p, '|'), nullif(lower(trim(business_name)), ''), 'unknown') AS k FROM r)
     SELECT lead_id, left(md5(k), 16) AS stable_id FROM t
 """)
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,13 +259,28 @@ def variant_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || ' ...[TRUNCATED]' ELSE text END AS cell,
+    SELECT doc_id, CASE WHEN length(text) > 32000 THEN left(text, 32000) || ' ...[TRUNCATED]' ELSE text END AS cell,
            CAST(length(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS INTEGER) AS printable_chars FROM documents
 """)
 def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_cell(F.col("text"), 500).alias("cell"), F.length(T.printable(F.coalesce("text", F.lit("")))).alias("printable_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_cell(F.col("text")).alias("cell"), F.length(T.printable(F.coalesce("text", F.lit("")))).alias("printable_chars"))
 
 
 @query()
 def phones_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(C.phones_in_text(F.col("text"))).alias("phone"))
+
+
+@query(r"""
+    SELECT doc_id, CASE WHEN text IS NULL OR length(text) <= 400 THEN text WHEN length(regexp_extract(left(text, 400), '(?s)^(.*[.!?])', 1)) - 1 >= 200 THEN regexp_extract(left(text, 400), '(?s)^(.*[.!?])', 1) || ' ...'
+           ELSE regexp_replace(coalesce(nullif(regexp_extract(left(text, 400), '(?s)^(.+) ', 1), ''), left(text, 400)), '[ ,;:\-]+$', '') || ' ...' END AS short FROM documents
+""")
+def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 400).alias("short"))
+
+
+@query("SELECT lead_id, " + ", ".join(f"CASE WHEN {f} IS NULL THEN 'unknown' WHEN {f} THEN 'True' ELSE 'False' END AS {f}" for f in ("has_chatbot", "has_whatsapp", "ssl_valid"))
+       + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {f} THEN '{t}' END" for f, t in T.SCOPE_GAPS) + "], lambda x: x IS NOT NULL), ', ') AS gaps FROM audited_leads")
+def flag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags as text, and the labels of those that are false."""
+    return table(spark, sf_dir, "audited_leads").select("lead_id", *[T.fmt_flag(F.col(f)).alias(f) for f in ("has_chatbot", "has_whatsapp", "ssl_valid")], F.array_join(T.gap_labels(), ", ").alias("gaps"))

@@ -1 +1 @@
-
+"""Leads as they arrive."""
