@@ -1,8 +1,10 @@
 """Which addresses denote the same place: numbers first.
 
-Addresses are reduced, in SQL, to house number, street (direction, name, kind), town and postcode; units, floors, landmarks,
-building names and countries fall away. Places are blocked on the number and one rare word, or its beginning or end together
-with the town; the remaining words are compared by their intersection, weighted by rarity, and by edit distance where unmatched.
+Addresses are reduced, in SQL, to digit tokens (the house number; postcodes, units and floors are taken out), street (direction,
+name, kind) and remaining words. Places are blocked on the digits and one rare word: the street, or the beginning or end of a
+mistyped one together with the rarest of the remaining words. Of these the shared ones are weighed by their rarity against the
+poorer side's, words that are not shared by edit distance. Words of areas and regions, which stand beside many others, weigh
+nothing; a town's words are one token.
 """
 
 from __future__ import annotations
@@ -25,9 +27,13 @@ COUNTRIES = "india|bharat|usa|u s a|united states(?: of america)?|uk|u k|united
 KIND = "|".join(KINDS.values())
 WAY = "|".join(WAYS.values())
 NUMBER = r"\d{1,4}[a-z]?"
-#: A word group of at least this share of all addresses may be a town; there can be no more of those than groups per address over it.
-TOWN = 0.001
-TOWN_LEAST = 8
+#: Rows from which a word group between commas is taken for a name; a name this many times rarer than one a typing error away is
+#: that one misspelled.
+NAME_ROWS, MISSPELLED = 8, 10
+#: An area's name stands beside at least so many others, none in more than this share; a town's beside one region in this share.
+AREA_BESIDE, AREA_TOP, TOWN_TOP = 4, 0.35, 0.95
+#: The share of the poorer side's weight that two addresses without a known town must share.
+OVERLAP = 0.6
 
 
 def _strip(c: Column, pattern: str, by: str = " ") -> Column:
@@ -82,55 +88,75 @@ def parsed(df: DataFrame, key: str, address: str) -> DataFrame:
     return pinned(df, {"left": _strip(_strip(_strip(left, r" +", " "), r"(?:[ ,]*,[ ,]*)+", ", "), r"^[, ]+|[, ]+$", "")}).filter("number <> '' and street <> ''").drop("s")
 
 
-def _parts(places: DataFrame) -> DataFrame:
-    return places.select("id", F.explode(F.array_distinct(F.filter(F.split("left", ", "), lambda p: (p != "") & ~p.rlike(r"\d")))).alias("part"))
+def _without_a_letter(c: str) -> Column:
+    """A word group and all that remain of it without one of its letters: those of two groups a typing error apart have one in common."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.concat(F.left(c, i), F.substring(c, i + 2, F.length(c)))))
 
 
-def gazetteer(places: DataFrame) -> tuple[list[str], list[str]]:
-    """(towns, other groups) among the word groups between commas that many addresses have.
+def _near(a: Column, b: Column) -> Column:
+    d = F.levenshtein(a, b, 2)
+    return (F.least(F.length(a), F.length(b)) >= 5) & (d >= 0) & (d <= 2)
 
-    An area's name occurs beside many towns' and regions', so none takes a large share there. Of the others, a
-    region's stands beside several towns', a town's always beside the same region's or none. Counted over all addresses; what is
-    collected is bounded by TOWN.
+
+def _runs_of_words(c: str) -> Column:
+    """All runs of up to four words."""
+    words = F.split(c, " ")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in (1, 2, 3, 4)])))
+
+
+def gazetteer(lefts: DataFrame) -> DataFrame:
+    """(name, town, is_area, rows): the names among the word groups between commas, misspelled ones with the town they mean; town is
+    null where the name is none's. rows: how many addresses have the name, rightly spelled.
+
+    An area's name occurs beside many towns' and regions', so none takes a large share there. Of the others, a region's stands
+    beside several towns', a town's always beside the same region's or none. All are tables, counted over all addresses; no
+    number depends on how many there are. lefts: left, n (rows).
     """
-    total = places.count()
-    least = max(TOWN_LEAST, int(total * TOWN))
-    parts = _parts(places)
-    often = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    names = {r.part for r in often.select("part").collect()}
-    names = sorted(n for n in names if not any(f" {m} " in f" {n} " for m in names if m != n))  # groups run together without commas
-    # What stands beside what, within each address: no shuffle but of the counts.
-    kept = F.array_intersect(F.split("left", ", "), in_array(names) if names else F.array().cast("array<string>"))
-    beside = pinned(places.select("left"), {"p": kept}).filter("size(p) > 1").select("p", F.explode("p").alias("part")).select("part", F.explode("p").alias("other")).filter("part <> other")
-    rows = beside.groupBy("part", "other").count().collect()
-    near: dict[str, dict[str, int]] = {n: {} for n in names}
-    for r in rows:
-        if r.part in near and r.other in near:
-            near[r.part][r.other] = r["count"]
-    top = lambda d: max(d.values(), default=0) / max(1, sum(d.values()))
-    wide = {n for n in names if len(near[n]) >= 4 and top(near[n]) < 0.35}
-    inside = lambda n: sum(c for m, c in near[n].items() if m in wide) / max(1, sum(near[n].values()))
-    areas = {n for n in wide if inside(n) < 0.5}  # a town without regions stands beside areas only
-    towns = [n for n in names if n not in areas and top({k: v for k, v in near[n].items() if k not in areas} or {"": 1}) >= 0.95]
-    return sorted(towns), sorted(set(names) - set(towns))
-
-
-def located(places: DataFrame, towns: list[str]) -> DataFrame:
-    """Adds town, as its number in ``towns``: the one named in what is left of the address, also with typing errors; else null. What is
-    left becomes a hash, to tell equal ones. Street kinds become numbers too: numbers are aggregated by hash, texts by sorting."""
-    left = F.regexp_replace(F.col("left"), ",", "")
-    known = F.array(*[F.lit(t) for t in towns]) if towns else F.array().cast("array<string>")
-    spaced = F.concat(F.lit(" "), left, F.lit(" "))
-    named = F.filter(known, lambda t: F.contains(F.col("spaced"), F.concat(F.lit(" "), t, F.lit(" "))))
-    places = pinned(places, {"spaced": spaced})
-    places = pinned(places, {"named": F.array_max(F.transform(named, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]})
-    words = F.filter(F.split("spaced", " "), lambda w: w != "")
-    grams = F.concat(words, F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
-    error = F.array_min(F.transform(F.flatten(F.transform(F.col("grams"), lambda g: F.transform(F.filter(known, lambda t: (F.abs(F.length(t) - F.length(g)) <= 2) & (F.length(g) >= 5) & (F.levenshtein(t, g) <= F.when(F.length(t) >= 8, 2).otherwise(F.when(F.length(t) >= 5, 2).otherwise(0)))), lambda t: F.struct(F.levenshtein(t, g).alias("d"), t.alias("t"))))), lambda x: x))["t"]
-    missing = pinned(places.filter("named is null"), {"grams": F.array_distinct(grams)})
-    done = places.filter("named is not null").withColumnRenamed("named", "town").drop("spaced").unionByName(pinned(missing, {"town": error}).drop("spaced", "grams", "named"))
-    number = lambda c, names: F.when(F.col(c).isNotNull(), F.array_position(in_array(names), F.col(c)).cast("int"))
-    return done.select("id", "number", F.coalesce("way", F.lit("")).alias("w"), "street", number("kind", list(KINDS)).alias("kind"), "post", number("town", towns or [""]).alias("town"), F.xxhash64("left").alias("left"))
+    parts = lefts.select("left", "n", F.explode(F.array_distinct(F.filter(F.split("left", ", "), lambda p: (p != "") & ~p.rlike(r"\d")))).alias("name"))
+    often = cut_lineage(parts.groupBy("name").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= NAME_ROWS))
+    # Groups run together without commas hold other names.
+    inner = often.select("name", F.explode(_runs_of_words("name")).alias("run")).filter("run <> name").join(often.select(F.col("name").alias("run")), "run", "left_semi").select("name").distinct()
+    # A rare name a typing error away from a frequent one is that one.
+    some = often.join(inner, "name", "left_anti").select("name", "rows", F.explode(_without_a_letter("name")).alias("key"))
+    x, y = some.alias("x"), some.alias("y")
+    wrong = x.join(y, F.col("x.key") == F.col("y.key")).filter((F.col("x.rows") * MISSPELLED <= F.col("y.rows")) & _near(F.col("x.name"), F.col("y.name"))).groupBy("x.name").agg(F.max_by("y.name", "y.rows").alias("right"))
+    names = cut_lineage(often.select("name").join(inner, "name", "left_anti").join(wrong, "name", "left").select("name", F.coalesce("right", "name").alias("right")))
+    known = parts.join(names, "name").groupBy("left", "n").agg(F.collect_set("right").alias("names")).filter("size(names) > 1")  # an address has few parts
+    beside = known.select("n", "names", F.explode("names").alias("name")).select("name", "n", F.explode("names").alias("other")).filter("name <> other")
+    beside = cut_lineage(beside.groupBy("name", "other").agg(F.sum("n").alias("n")))
+    top = lambda df: df.groupBy("name").agg(F.count("*").alias("others"), F.max("n").alias("top"), F.sum("n").alias("sum"))
+    wide = cut_lineage(top(beside).filter((F.col("others") >= AREA_BESIDE) & (F.col("top") < AREA_TOP * F.col("sum"))).select("name"))
+    among = beside.join(wide.select(F.col("name").alias("other"), F.lit(1).alias("is_wide")), "other", "left").groupBy("name").agg((F.sum(F.when(F.col("is_wide") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("inside"))
+    areas = cut_lineage(wide.join(among, "name").filter("inside < 0.5").select("name"))  # a town without regions stands beside areas only
+    apart = top(beside.join(areas.select(F.col("name").alias("other")), "other", "left_anti"))
+    regions = apart.filter(F.col("top") < TOWN_TOP * F.col("sum")).select("name")
+    no_towns = areas.withColumn("is_area", F.lit(True)).unionByName(regions.join(areas, "name", "left_anti").withColumn("is_area", F.lit(True)))
+    found = names.join(no_towns.withColumnRenamed("name", "right"), "right", "left").join(often.withColumnRenamed("name", "right"), "right")
+    return found.select("name", F.when(F.col("is_area").isNull(), F.col("right")).alias("town"), F.coalesce("is_area", F.lit(False)).alias("is_area"), "rows")
+
+
+def located(lefts: DataFrame, names: DataFrame) -> DataFrame:
+    """(left, town, rest): the town named in what is left of an address, also with a typing error, else null; and the words that are
+    no area's or region's, each with its rarity; a known town's words aside, as the town stands for them."""
+    spaced = lefts.select("left", "n", F.regexp_replace("left", ",", "").alias("plain"))
+    runs = cut_lineage(spaced.select("left", F.explode(_runs_of_words("plain")).alias("name")).filter("name <> ''"))
+    hit = runs.join(names, "name")
+    # A region of one town stands beside that as the town beside it: the town's is the name that is left out less often.
+    towns = hit.filter("town is not null").groupBy("left").agg(F.max_by("town", F.struct("rows", "town")).alias("town"))
+    areas = hit.filter("is_area").groupBy("left").agg(F.array_distinct(F.flatten(F.collect_list(F.split("name", " ")))).alias("areas"))
+    exact = cut_lineage(spaced.join(towns, "left", "left").join(areas, "left", "left"))
+    keyed = names.filter("town is not null").select("name", "town", F.explode(_without_a_letter("name")).alias("key"))
+    lost = runs.join(exact.filter("town is null").select("left"), "left", "left_semi").filter("length(name) >= 4").select("left", F.col("name").alias("run"), F.explode(_without_a_letter("name")).alias("key"))
+    near = lost.join(keyed, "key").filter(_near(F.col("run"), F.col("name"))).groupBy("left").agg(F.min_by("town", F.levenshtein("run", "name")).alias("near"))
+    done = exact.join(near, "left", "left").withColumn("town", F.coalesce("town", "near"))
+    words = F.array_except(F.array_except(F.split("plain", " "), F.coalesce("areas", F.array().cast("array<string>"))), F.coalesce(F.split("town", " "), F.array().cast("array<string>")))
+    done = cut_lineage(done.select("left", "n", "town", words.alias("words")))
+    one = done.select("left", "n", F.explode("words").alias("word")).filter("word <> ''")
+    total = done.agg(F.sum("n").alias("total"))
+    rarity = one.groupBy("word").agg(F.sum("n").alias("rows")).crossJoin(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("rows")).alias("weight"))  # one row beside
+    rest = one.filter("word <> ''").join(rarity, "word").groupBy("left").agg(F.sort_array(F.collect_list(F.struct(F.col("weight"), F.col("word"))), False).alias("rest"))
+    return done.select("left", "town").join(rest, "left", "left")
 
 
 def _only(values: str) -> Column:
@@ -162,37 +188,65 @@ def settled(places: DataFrame) -> DataFrame:
     return out.filter(~lacking).unionByName(fixed)
 
 
-def same_places(df: DataFrame, key: str = "lead_id", address: str = "address") -> DataFrame:
-    """(a, b), a < b: rows whose addresses denote the same place.
+def _overlap(a: Column, b: Column) -> Column:
+    """The weight of the words of one side that the other has too, if need be but for typing errors, over the poorer side's weight;
+    null where that is 0."""
+    weigh = lambda x: F.aggregate(x, F.lit(0.0), lambda t, w: t + w["weight"])
+    words = F.array_intersect(F.transform(a, lambda w: w["word"]), F.transform(b, lambda w: w["word"]))
+    near = lambda w, other: F.exists(other, lambda v: ~F.array_contains(words, v["word"]) & _near(w["word"], v["word"]))
+    shared = lambda p, q: weigh(F.filter(p, lambda w: F.array_contains(words, w["word"]) | near(w, q)))
+    poorer = F.least(weigh(a), weigh(b))
+    return F.when(poorer > 0, F.greatest(shared(a, b), shared(b, a)) / poorer)
+
 
-    Equal are house number with its letter, direction, street, kind and town; street and town but for typing errors. Null
-    addresses and those without house number or street are in no pair; rows with null ids are left out, repeated ids taken once
-    for each of their addresses. Addresses that are equal once reduced form a class, compared once; every pair of its rows comes
-    out, as the result asks for. An empty table gives an empty result.
+def place_classes(df: DataFrame, key: str = "lead_id", address: str = "address") -> tuple[DataFrame, DataFrame]:
+    """(member, pairs): the class of each address (id, class), and pairs (p, q) of different classes that denote the same place.
+
+    Equal are house number with its letter, direction, street, kind and town; street and town but for typing errors. Where a
+    town isn't known, the remaining words must share enough of their weight, or the postcodes be equal. Null addresses and those
+    without house number or street are left out, as rows with null ids; repeated ids are taken once for each of their addresses.
+    Addresses that are equal once reduced form a class, compared once. An empty table gives empty results.
     """
     places = cut_lineage(parsed(df.filter(F.col(key).isNotNull() & F.col(address).isNotNull()), key, address))
-    towns, _ = gazetteer(places)
-    found = cut_lineage(located(places, towns))
+    lefts = cut_lineage(places.groupBy("left").agg(F.count("*").alias("n")))
+    where = located(lefts, cut_lineage(gazetteer(lefts)))
+    number = lambda c, names: F.when(F.col(c).isNotNull(), F.array_position(in_array(names), F.col(c)).cast("int"))
+    found = places.join(where, "left", "left").select("id", "number", F.coalesce("way", F.lit("")).alias("w"), "street", number("kind", list(KINDS)).alias("kind"), "post", F.xxhash64("town").alias("town_hash"), "town", "rest")
+    found = cut_lineage(found.withColumn("town", F.when(F.col("town").isNotNull(), F.col("town_hash"))).drop("town_hash"))
     done = settled(by_postcode(found))
-    # Without a town, postcodes or what else is left must be equal.
-    cols = ["number", "w", "street", "kind", "town"]
-    done = done.withColumn("town", F.coalesce(F.col("town").cast("bigint"), F.xxhash64(F.coalesce("post", F.lit("")), F.when(F.col("post").isNull(), F.col("left")))))
-    classed = cut_lineage(done.select("id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in cols]).alias("class"), *cols).distinct())
-    classes = classed.select("class", *cols).distinct()
-    # Blocks: the digits and one rare word, or its beginning or end with the town.
-    word = F.col("street")
-    block = F.explode(F.array(F.xxhash64("number", F.lit(0), word), F.xxhash64("number", F.lit(1), "town", F.left(word, F.lit(3))), F.xxhash64("number", F.lit(2), "town", F.right(word, F.lit(3))))).alias("block")
-    blocked = classes.select("*", block)
+    # With a town, postcode and other words don't matter.
+    lost = F.col("town").isNull()
+    done = done.withColumns({"post": F.when(lost, F.col("post")), "rest": F.when(lost, F.coalesce("rest", F.array().cast("array<struct<weight:double,word:string>>")))})
+    cols = ["number", "w", "street", "kind", "town", "post"]
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in cols]
+    words = F.coalesce(F.array_join(F.transform("rest", lambda w: w["word"]), " "), F.lit("?"))
+    classed = cut_lineage(done.select("id", F.xxhash64(*texts, words).alias("class"), *cols, "rest"))
+    classes = cut_lineage(classed.groupBy("class").agg(*[F.first(c).alias(c) for c in (*cols, "rest")]))
+    # Blocks: the digits and one rare word; that is the street, or where it may be mistyped its beginning or end and the town, or
+    # where that isn't known one of the words or the postcode.
+    words = F.concat(F.transform(F.coalesce("rest", F.array().cast("array<struct<weight:double,word:string>>")), lambda w: w["word"]), F.array("post"))
+    rare = F.array_compact(F.when(F.col("town").isNotNull(), F.array(F.col("town").cast("string"))).otherwise(words))
+    ends = F.flatten(F.transform(rare, lambda w: F.array(*[F.xxhash64("number", F.lit(n), w, piece) for n, piece in ((1, F.left("street", F.lit(3))), (2, F.right("street", F.lit(3))))])))
+    spread = F.xxhash64("number", F.lit(0), "street", "town")
+    blocked = classes.select("*", F.explode(F.array_distinct(F.concat(F.array(spread), ends))).alias("block"))
     x, y = blocked.alias("x"), blocked.alias("y")
     u, v = F.col("x.street"), F.col("y.street")
-    remaining = lambda s: F.array(F.col(f"{s}.street"), F.col(f"{s}.town").cast("string"))
-    met = F.size(F.array_intersect(remaining("x"), remaining("y")))
-    distance = F.levenshtein(u, v)
-    close = (F.abs(F.length(u) - F.length(v)) <= 2) & (distance <= F.when(F.least(F.length(u), F.length(v)) >= 7, 2).otherwise(1))
+    distance = F.levenshtein(u, v, 2)
+    close = (u == v) | ((distance >= 0) & (distance <= F.when(F.least(F.length(u), F.length(v)) >= 7, 2).otherwise(1)))
     kinds = F.col("x.kind").eqNullSafe(F.col("y.kind")) | F.col("x.kind").isNull() | F.col("y.kind").isNull()
-    accept = (F.col("x.w") == F.col("y.w")) & kinds & (F.col("x.town") == F.col("y.town")) & (met >= 1) & ((u == v) | close)
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.number") == F.col("y.number")) & (F.col("x.class") < F.col("y.class"))).filter(accept).select(F.col("x.class").alias("p"), F.col("y.class").alias("q")).distinct()
-    member = classed.select("id", "class")
+    both = (F.col("x.block") == F.col("y.block")) & (F.col("x.number") == F.col("y.number")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.class") < F.col("y.class"))
+    met = x.join(y, both & kinds & close & F.col("x.town").eqNullSafe(F.col("y.town"))).filter(F.col("x.town").isNotNull() | same_rest("x", "y")).select(F.col("x.class").alias("p"), F.col("y.class").alias("q"))
+    return classed.select("id", "class").distinct(), met.distinct()
+
+
+def same_rest(x: str, y: str) -> Column:
+    return F.coalesce(F.col(f"{x}.post") == F.col(f"{y}.post"), F.lit(False)) | F.coalesce(_overlap(F.col(f"{x}.rest"), F.col(f"{y}.rest")) >= OVERLAP, F.lit(False))
+
+
+def same_places(df: DataFrame, key: str = "lead_id", address: str = "address") -> DataFrame:
+    """(a, b), a < b: every pair of rows whose addresses denote the same place (see place_classes)."""
+    member, pairs = place_classes(df, key, address)
+    member = cut_lineage(member)
     within = member.alias("m").join(member.alias("n"), (F.col("m.class") == F.col("n.class")) & (F.col("m.id") < F.col("n.id")))
     across = pairs.join(member.select(F.col("class").alias("p"), F.col("id").alias("i")), "p").join(member.select(F.col("class").alias("q"), F.col("id").alias("j")), "q").filter("i <> j")
     return within.select(F.col("m.id").alias("a"), F.col("n.id").alias("b")).unionByName(across.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))).distinct()
