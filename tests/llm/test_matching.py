@@ -3,12 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.llm import business as B
-from leadloom.llm.address import parsed, same_places
+from leadloom.llm.address import parsed, place_classes, same_places
 from leadloom.llm.canon import LEAST, _tokens, canon_names, map_values, match_values
 from leadloom.llm.candidates import pairs_between, pairs_to_earlier
 from leadloom.llm.history import History, features, repeats
 from leadloom.llm.linkage import LabelModel, link
-from leadloom.llm.subjects import Matcher, assign_subjects, sentences
+from leadloom.llm.subjects import Matcher, assign_subjects, best_threshold, hits_of, levels, sentences
 
 
 @pytest.mark.parametrize(
@@ -213,11 +213,43 @@ def test_places(spark):
     assert (p.number, p.way, p.street, p.kind) == ("12a", "north", "lydteson", "street")
 
 
+def test_places_do_not_depend_on_other_towns(spark):
+    fill = [(100 + i, f"{i} Quenuham Street, {t}, BR") for i in range(40) for t in ("Mont Brisard", "Saint Almond")]
+    more = [(1000 + i, f"{i % 50} Lydteson Street, Town {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}ville, R{chr(97 + i % 7)}") for i in range(2000)]
+    rows = [*ADDRESSES.items(), *[(k * 2 + j, a) for j, (k, a) in enumerate(fill)]]
+    found = []
+    for extra in ([], more):
+        df = spark.createDataFrame(rows + extra, "lead_id bigint, address string").dropDuplicates(["lead_id"])
+        found.append({(r.a, r.b) for r in same_places(df).collect() if r.b < 100})
+    assert found[0] == found[1] == {(1, 2), (1, 9), (2, 9)}
+
+
+def test_places_of_unknown_towns_share_their_rare_words(spark):
+    rows = [(1, "5 Elmworth Street, Zorbville"), (2, "Shop 2, 5 Elmworth St, Zorbvile"), (3, "5 Elmworth Street, Quentham"), (4, "5 Elmwroth Street, Zorbville"), (5, "6 Elmworth Street, Zorbville"), (6, "5 Elmworth Street Zorbville Quarter"), (7, "7 Oakton Road, 123456"), (8, "7 Okton Rd 123456")]
+    df = spark.createDataFrame(rows, "lead_id bigint, address string")
+    assert {(r.a, r.b) for r in same_places(df).collect()} == {(1, 2), (1, 4), (1, 6), (2, 6), (4, 6), (7, 8)}  # (2, 4) has an error in either word
+    member, pairs = place_classes(df)
+    assert member.count() == 8 and set(member.columns) == {"id", "class"}
+
+
+def test_thresholds(spark):
+    level, true = np.array([3.0, 2.0, 1.0, 0.5]), np.array([True, True, False, False])
+    assert best_threshold(level, true) == 1.5 and best_threshold(level[:0], true[:0]) == 0.0 and best_threshold(level, ~true | true) == 0.25
+
+
+def test_levels_are_those_a_fifth_of_sentences_reach(spark):
+    docs = spark.createDataFrame([(1, "The boiler. See you. See you. See you. See you."), (2, "The boiler. " + "See you. " * 5), (3, "The boiler and the brakes. The boiler.")], "doc_id bigint, text string")
+    hits = hits_of(docs)
+    got = {(r.doc_id, r.subject) for r in levels(hits, np.ones(len(Matcher().rows))).collect()}
+    assert got == {(1, "heating_cooling"), (3, "heating_cooling"), (3, "vehicles")}
+
+
 def test_sentences_and_subjects(spark):
     assert sentences(None) == [] and sentences("  ") == []
     assert len(sentences("Health score 3/9\nHIGH: The tap dripped. How do you fix it? Slowly.\n[Home] [Cars] [Salon]")) == 2  # the question and its answer are one; the heading and the menu none
     m = Matcher()
-    assert m.find("that idea went down the drain.") == [-1] and m.find("our neighbours do waxing; please do not ask us.") == [-1]
+    assert m.find_all(["that idea went down the drain.", "our neighbours do waxing.", "see you."]) == {}
+    assert {k: [m.subjects[m.rows[r][1]] for r in rows] for k, rows in m.find_all(["see you.", "the boiler and the brakes."]).items()} == {1: ["heating_cooling", "vehicles"]}
     docs = [
         (1, "The tap dripped all night. We can rod the drain. Parking is behind the building."), (2, "That idea went down the drain. See you soon!"), (3, None), (4, ""), (5, '[{"text": "Los frenos chirriaban."}]'),
         (6, "See you. " * 9 + "The tap dripped."), (7, "DIE ZÄHNE REINIGEN. Haftungsklauseln."), (8, "<p>Nos dijeron que el embrague patinaba.</p>"),
