@@ -2,8 +2,8 @@
 
 A batch is handled as one byte array. Masks over all its bytes mark quotes and delimiters; running counts of the quote mask
 give each byte's quote parity; the delimiters outside quotes give the child offsets; child spans are trimmed by moving their
-two ends over whole arrays, and the parent ordinals flatten them into rows. Python touches single values only where a quoted
-value holds an escape.
+two ends over whole arrays. The bytes left are the values of an Arrow list array, which the parent ordinals flatten into rows.
+Python touches single values only where a quoted value holds an escape.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +64,11 @@ def _since_start(mask: np.ndarray, starts: np.ndarray, cell: np.ndarray) -> np.n
     return total - before[cell]
 
 
-def split_buffer(values: pa.Array, field: PackedField) -> tuple[np.ndarray, list[str]]:
+def split_buffer(values: pa.Array, field: PackedField) -> tuple[np.ndarray, pa.Array]:
     """(parent ordinals, items in order) of all values in the cells of one array; null and blank cells give none."""
     values = values.cast(pa.large_string())
     if len(values) == 0:
-        return np.empty(0, np.int64), []
+        return np.empty(0, np.int64), pa.array([], pa.large_string())
     if values.null_count:
         values = values.fill_null("")
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
@@ -76,7 +77,7 @@ def split_buffer(values: pa.Array, field: PackedField) -> tuple[np.ndarray, list
     offsets = offsets - offsets[0]
     n = len(data)
     if n == 0:
-        return np.empty(0, np.int64), []
+        return np.empty(0, np.int64), pa.array([], pa.large_string())
     starts, lengths = offsets[:-1], np.diff(offsets)
     cell = np.repeat(np.arange(len(lengths)), lengths)
 
@@ -89,7 +90,7 @@ def split_buffer(values: pa.Array, field: PackedField) -> tuple[np.ndarray, list
     where = np.arange(n)
     some = np.flatnonzero(~blank)
     if not len(some):
-        return np.empty(0, np.int64), []
+        return np.empty(0, np.int64), pa.array([], pa.large_string())
     k = np.searchsorted(some, starts)
     first = np.where(k < len(some), some[np.minimum(k, len(some) - 1)], n)
     k = np.searchsorted(some, offsets[1:]) - 1
@@ -197,31 +198,35 @@ def split_buffer(values: pa.Array, field: PackedField) -> tuple[np.ndarray, list
     stop = np.minimum(np.where(k < len(spots), spots[np.minimum(k, len(spots) - 1)] if len(spots) else n, n), offsets[owner + 1])
     begin, stop, owner, quoted = _trim(data, blank, begin, stop, owner)
 
-    whole = values
-    text = memoryview(data)
-    items: list[str] = []
-    keep = np.ones(len(begin), bool)
-    single_row = single
-    for i, (a, b, o, q) in enumerate(zip(begin.tolist(), stop.tolist(), owner.tolist(), quoted.tolist(), strict=True)):
-        item = bytes(text[a:b]).decode("utf-8", "replace")
-        if q:
-            if listed[o] and "\\" in item:
-                item = _unescape(item, "'" if single_row[o] else '"')
-            elif q == 34 and not listed[o]:
-                item = item.replace('""', '"')
-            item = item.strip()
-        if not item or (field.atomic and not any(map(str.isalnum, item))):
-            keep[i] = False
-        items.append(item)
-    if len(items):
-        alone = np.bincount(owner, minlength=len(whole)) == 1
-        for i in np.flatnonzero(alone[owner]):
-            if items[i].lower() in NOTHING and not quoted[i]:
-                keep[i] = False
-    if not keep.all():
-        owner = owner[keep]
-        items = [x for x, ok in zip(items, keep, strict=True) if ok]
-    return owner, items
+    # The bytes of all spans, which lie apart and in order, are the values buffer of the children; their lengths its offsets.
+    inside_span = np.zeros(n + 1, np.int64)
+    np.add.at(inside_span, begin, 1)
+    np.add.at(inside_span, stop, -1)
+    ends = np.concatenate([[0], np.cumsum(stop - begin)])
+    items = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[np.cumsum(inside_span[:-1]) > 0].tobytes()))
+
+    # Only quoted values may hold escapes, and of them only those with a mark of one are looked at one by one.
+    marked = quoted > 0
+    if marked.any():
+        back_in, twice = np.concatenate([[0], np.cumsum(back)]), np.concatenate([[0], np.cumsum(_at(data, b'""'))])
+        has = lambda counts: counts[stop] > counts[begin]
+        escaped_items = np.flatnonzero(marked & np.where(listed[owner], has(back_in), (quoted == 34) & has(twice)))
+        trimmed = pc.utf8_trim_whitespace(items)
+        if len(escaped_items):
+            plain_items = [_unescape(items[i].as_py(), "'" if single[owner[i]] else '"').strip() if listed[owner[i]] else items[i].as_py().replace('""', '"').strip() for i in escaped_items.tolist()]
+            at = np.zeros(len(items), bool)
+            at[escaped_items] = True
+            trimmed = pc.replace_with_mask(trimmed, pa.array(at), pa.array(plain_items, pa.large_string()))
+        items = pc.if_else(pa.array(marked), trimmed, items)
+
+    keep = pc.greater(pc.binary_length(items), 0)
+    if field.atomic:
+        keep = pc.and_(keep, pc.match_substring_regex(items, r"[\p{L}\p{N}]"))
+    alone = np.bincount(owner, minlength=len(values)) == 1
+    nothing = pc.and_(pc.is_in(pc.utf8_lower(items), pa.array(NOTHING, pa.large_string())), pa.array(alone[owner] & ~marked))
+    keep = pc.and_not(keep, nothing)
+    kept = keep.to_numpy(zero_copy_only=False)
+    return owner[kept], items.filter(keep)
 
 
 def _trim(data, blank, begin, stop, owner):
@@ -292,13 +297,14 @@ def split_cells(df: DataFrame, record_id: str, fields: list[PackedField]) -> Dat
                 owner, items = split_buffer(batch.column(i + 1), field)
                 if not len(items):
                     continue
-                fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
-                spot = np.arange(len(owner))
-                pos = spot - np.maximum.accumulate(np.where(fresh, spot, 0)) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner)), pa.array([field.name] * len(items)), pa.array(pos, pa.int32()), pa.array(items, pa.string())],
-                    names=["record_id", "field_name", "pos", "item"],
-                )
+                # Lists by parent: their offsets give the places of the items within them, their parents the ids.
+                counts = np.bincount(owner, minlength=len(ids))
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), items)
+                parents = pc.list_parent_indices(lists)
+                pos = np.arange(len(items)) - offsets[owner] + 1
+                name = pa.array([field.name]).take(pa.array(np.zeros(len(items), np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(parents), name, pa.array(pos, pa.int32()), pc.list_flatten(lists).cast(pa.string())], names=["record_id", "field_name", "pos", "item"])
 
     return read.mapInArrow(split, "record_id bigint, field_name string, pos int, item string")
 
