@@ -34,6 +34,7 @@ class Vocabulary:
 
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.longest = max(map(len, ranks), default=0)
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             if self.merge(token) == [token]:  # only tokens that their own bytes are encoded as can occur
@@ -81,8 +82,7 @@ class Prefixes:
         self.word += more
         if not more:
             return self
-        longest = 128
-        begin = max(0, done - longest)
+        begin = max(0, done - self.vocabulary.longest)  # no token begins further back
         found: list[list[tuple[int, int]]] = [[] for _ in more]
         for end, match in self.vocabulary.automaton.iter(self.word[begin:].decode("latin-1")):
             at = begin + end

@@ -15,6 +15,8 @@ from leadloom.shared import cut_lineage
 
 #: Items a shard holds on average.
 SHARD = 8192
+#: Capacities a table of settings may name.
+MOST_SPECS = 1000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -132,14 +134,24 @@ def pack_items(items: DataFrame, specs: DataFrame, shard_items: int = SHARD) ->
     containers of its own and a rest that is packed like an item; ``piece`` counts from 0 and ``first_token`` is where the piece
     begins. Null sizes count as 0; items of size 0 are put, with n_tokens 0, into the first container of their shard. Rows with
     the same doc_id are items of their own. Specs without a positive capacity give no rows; empty tables an empty result.
-    Hot keys don't matter: shards are drawn by a hash of the whole row with a random-free number, at equal size.
+    Hot keys don't matter: shards are drawn by a hash of the whole row and its number among equal ones, at equal size. More than
+    ``MOST_SPECS`` capacities are refused.
     """
-    items = cut_lineage(items.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")))
+    # Equal rows are told apart by a number, so that many copies of a row don't fall into one shard; what a row's shard is depends
+    # on nothing but the rows, so a rerun over other file splits gives the same containers.
+    alike = items.groupBy("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).agg(F.count("*").alias("copies"))
+    thousands = alike.select("doc_id", "n_tokens", "copies", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(copies - 1) div 1000"))).alias("k"))
+    items = thousands.select("doc_id", "n_tokens", F.explode(F.sequence(F.col("k") * 1000, F.least(F.col("copies") - 1, F.col("k") * 1000 + 999))).alias("copy"))
+    items = cut_lineage(items)
     shards = max(1, -(-items.count() // shard_items))
     specs = specs.filter("capacity > 0").select("spec_id", F.col("capacity").cast("bigint").alias("capacity"))
-    # Equal rows are told apart by their place, so that many copies of a row don't fall into one shard.
-    each = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)))
-    each = each.join(F.broadcast(specs), F.lit(True), "inner")
+    few = specs.limit(MOST_SPECS + 1).collect()
+    if len(few) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} capacities")
+    each = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(shards))).drop("copy")
+    kinds = f"array<struct<spec_id:{specs.schema['spec_id'].dataType.simpleString()},capacity:bigint>>"
+    settings = F.array(*[F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity")) for r in few]).cast(kinds)
+    each = each.select("*", F.inline(settings))
     # Full pieces need no packing; the rest of each item does.
     full = each.filter("n_tokens > capacity").select(
         "*", F.explode(F.sequence(F.lit(0), (F.col("n_tokens") / F.col("capacity")).cast("int") - 1)).alias("piece")

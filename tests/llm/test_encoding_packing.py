@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leadloom.llm.bpe import Encoder, EditableText, Prefixes, Vocabulary, count_tokens, encode_texts, vocabulary_text
 from leadloom.llm.packing import best_fit, local_search, pack, pack_items
@@ -92,3 +93,13 @@ def test_pack_items(spark):
     assert sorted((r.piece, r.first_token, r.n_tokens) for r in rows if r.spec_id == 1 and r.doc_id == 2) == [(0, 0, 100), (1, 100, 100), (2, 200, 50)]
     assert len({r.container_id for r in rows if r.spec_id == 2}) == 1 and len({r.container_id for r in rows if r.spec_id == 1}) == 6
     assert pack_items(items.limit(0), specs).count() == 0 and pack_items(items, specs.limit(0)).count() == 0
+
+
+def test_containers_do_not_depend_on_file_splits(spark):
+    rows = [(i % 40, 3 + i % 40 % 7) for i in range(400)] + [(7, None), (None, 4)]
+    df = spark.createDataFrame(rows, "doc_id int, n_tokens bigint")
+    specs = spark.createDataFrame([(1, 16), (2, 20), (3, 0)], "spec_id int, capacity int")
+    found = [sorted(map(repr, pack_items(x, specs, shard_items=50).collect())) for x in (df.coalesce(1), df.repartition(7).orderBy(F.rand(3)))]
+    assert found[0] == found[1] and len(found[0]) == 2 * 402
+    with pytest.raises(ValueError, match="capacities"):
+        pack_items(df, spark.range(2000).select(F.col("id").alias("spec_id"), F.lit(9).alias("capacity")))
