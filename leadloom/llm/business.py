@@ -103,11 +103,11 @@ def prepare(df: DataFrame, key: str, name: str, phones: list[str], website: str,
     return out.select("id", "words", found.alias("phones"), "web", "mails", F.substring_index(F.try_element_at("mails", F.lit(1)), "@", -1).alias("mail_host"))
 
 
-def word_counts(records: DataFrame) -> DataFrame:
-    """(w, host, n): rows by word and host, additive over batches; records without a host aren't counted. Hosts that begin alike, as
+def word_counts(records: DataFrame, *kept: str) -> DataFrame:
+    """(w, host, n, and the columns kept): rows by word and host, additive over batches; records without a host aren't counted. Hosts that begin alike, as
     mistyped ones mostly do, are one."""
     host = F.xxhash64(F.left(_label(F.coalesce("web", "mail_host")), F.lit(4)))
-    return records.filter("web is not null or mail_host is not null").select(F.explode("words").alias("w"), host.alias("host")).groupBy("w", "host").agg(F.count("*").alias("n"))
+    return records.filter("web is not null or mail_host is not null").select(F.explode("words").alias("w"), host.alias("host"), *kept).groupBy("w", "host", *kept).agg(F.count("*").alias("n")).select("w", "host", "n", *kept)
 
 
 def common_words(counts: DataFrame) -> DataFrame:
@@ -281,11 +281,11 @@ def pieces(records: DataFrame) -> DataFrame:
     """The pieces of the lanes as columns, null where a detail is missing: a row for each phone and host."""
     ends = lambda c, n: (F.left(c, F.lit(n)), F.right(c, F.lit(n)))
     there = lambda c: F.nullif(c, F.lit(""))
-    records = records.select("*", F.explode_outer("phones").alias("_p")).select("*", F.explode_outer("hosts").alias("_h"))
+    records = records.select("*", F.explode_outer("phones").alias("_p")).select("*", F.explode_outer("hosts").alias("_host"))
     box = F.substring_index(F.try_element_at(F.filter("own_mails", lambda m: ~m.rlike(SHARED_BOX)), F.lit(1)), "@", 1)
     prefixes = F.array_join(F.array_distinct(F.transform("words", lambda w: F.left(w, F.lit(2)))), "")  # of sorted words: sorted
     endings = F.array_join(F.sort_array(F.array_distinct(F.transform("words", lambda w: F.right(w, F.lit(2))))), "")
-    records = pinned(records, {"_h": _label(F.col("_h")), "_b": box, "prefixes": there(prefixes), "endings": there(endings)})
+    records = pinned(records, {"_h": _label(F.col("_host")), "_b": box, "prefixes": there(prefixes), "endings": there(endings)})
     half = (F.length("_p") / 2).cast("int")
     cut = {"phone_a": F.left("_p", half), "phone_z": F.right("_p", F.length("_p") - half)}
     cut |= dict(zip(("host_a", "host_z", "mail_a", "mail_z"), (*ends(F.col("_h"), 6), *ends(F.col("_b"), 5)), strict=True))
@@ -306,8 +306,9 @@ def hashed_lane(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.hash(name).bitwiseAND(LANE).bitwiseOR(1)).cast("bigint")
 
 
-def entries(records: DataFrame, lane=bit_lane) -> DataFrame:
-    """(id, block, lo, hi): the rotated block tables of records with words, phones, hosts, own_mails, chain, stem.
+def entries(records: DataFrame, lane=bit_lane, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(id, block, lo, hi, host): the rotated block tables of records with words, phones, hosts, own_mails, chain, stem. host is the
+    one that the block is of, null for blocks without.
 
     lo and hi are the fingerprint, four lanes each. A block is a hash of the two pieces whose lanes its table puts in front, with
     the table's number as its last four bits.
@@ -321,8 +322,8 @@ def entries(records: DataFrame, lane=bit_lane) -> DataFrame:
         if n == WHOLE_HOSTS:
             there &= ~F.col("chain")
         keys.append(F.when(there, F.xxhash64(F.lit(n), *parts).bitwiseAND(-16).bitwiseOR(n)))
-    rows = made.select("id", F.array_compact(F.array(*keys)).alias("blocks"), word((0, 1, 2, 3)).alias("lo"), word((4, 5, 6, 7)).alias("hi"))
-    return rows.select("id", F.explode("blocks").alias("block"), "lo", "hi")
+    rows = made.select("id", F.array_compact(F.array(*keys)).alias("blocks"), word((0, 1, 2, 3)).alias("lo"), word((4, 5, 6, 7)).alias("hi"), "_host", *kept)
+    return rows.select("id", F.explode("blocks").alias("block"), "lo", "hi", "_host", *kept).select("id", "block", "lo", "hi", F.when(of_hosts(F.col("block")), F.col("_host")).alias("host"), *kept)
 
 
 #: By table, the lanes (as bits) that all entries of a block have in common.
@@ -330,6 +331,15 @@ OWN = [1 << x | 1 << y for x, y in TABLES]
 PHONE, MAILBOX = 1 << 1 | 1 << 2, 1 << 5 | 1 << 6
 
 
+def table_of(block: Column) -> Column:
+    return block.bitwiseAND(15).cast("int")
+
+
+def of_hosts(block: Column) -> Column:
+    """Whether a block's table is of hosts."""
+    return table_of(block).isin(*[n for n, t in enumerate(TABLES) if {3, 4} & set(t)])
+
+
 def own_lanes(block: Column) -> Column:
     return F.get(F.array(*[F.lit(m) for m in OWN]), block.bitwiseAND(15).cast("int"))
 

@@ -95,18 +95,14 @@ def first_in_hot(x: DataFrame, y: DataFrame, judge, step: int = HOT) -> DataFram
             return best.select("a", "b")
 
 
-def pairs_to_earlier(new: DataFrame, stored: DataFrame, judge, most: int = HOT) -> DataFrame:
+def pairs_to_earlier(new: DataFrame, stored: DataFrame, judge, hot: DataFrame | None = None, most: int = HOT) -> DataFrame:
     """(a, b): accepted pairs of a new entry b and a stored entry a of smaller id in one block, with fingerprints within the distance.
 
-    Of blocks with more than ``most`` stored entries only the first that b matches is given: the first over all pairs is the same as
-    if all were given. Only the new entries' blocks are looked up.
+    Of ``hot`` blocks (block; None where there are none) only the first that b matches is given: the first over all pairs is the
+    same as if all were given. Only the new entries' blocks are looked up.
     """
-    met = stored.join(new.select("block").distinct(), "block", "left_semi")
-    hot = cut_lineage(hot_blocks(met, most))
-    crowded = not hot.isEmpty()
-    p, q = (stored.join(hot, "block", "left_anti"), new.join(hot, "block", "left_anti")) if crowded else (stored, new)
-    out = sided(p, "a").join(sided(q, "b"), "block").filter((F.col("a") < F.col("b")) & within_distance()).select("a", "b").distinct()
-    out = judge(cut_lineage(out))
-    if crowded:
-        out = out.unionByName(first_in_hot(met.join(hot, "block", "left_semi"), new.join(hot, "block", "left_semi"), judge, most))
+    p, q = (stored, new) if hot is None else (stored.join(hot, "block", "left_anti"), new.join(hot, "block", "left_anti"))
+    out = judge(cut_lineage(sided(p, "a").join(sided(q, "b"), "block").filter((F.col("a") < F.col("b")) & within_distance()).select("a", "b").distinct()))
+    if hot is not None:
+        out = out.unionByName(first_in_hot(stored.join(hot, "block", "left_semi"), new.join(hot, "block", "left_semi"), judge, most))
     return out

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadloom.llm import business as B
-from leadloom.llm.candidates import HOT, pairs_to_earlier
+from leadloom.llm.candidates import HOT, hot_blocks, pairs_to_earlier
 from leadloom.shared import cut_lineage, scratch_dir
 
 #: The compared columns of a record.
@@ -26,17 +27,6 @@ def features(records: DataFrame) -> DataFrame:
     return B.with_hosts(known, cut_lineage(B.host_kinds(B.host_counts(known))))
 
 
-def first_of(parents: DataFrame) -> DataFrame:
-    """(b, a) with a the end of the chain of parents from b: pointers are doubled until none moves."""
-    now = cut_lineage(parents)
-    while True:
-        up = now.select(F.col("b").alias("a"), F.col("a").alias("top"))
-        step = cut_lineage(now.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("a"), F.col("top").isNotNull().alias("moved")))
-        now = step.select("b", "a")
-        if step.filter("moved").isEmpty():
-            return now
-
-
 def ledger_records(leads: DataFrame) -> DataFrame:
     """permanent_leads in keyed form, with batch."""
     flags = leads.select(F.col("i_d").alias("id"), F.coalesce("batch_no", F.lit(1)).alias("batch")).dropDuplicates(["id"])
@@ -44,78 +34,105 @@ def ledger_records(leads: DataFrame) -> DataFrame:
 
 
 class History:
-    """The accepted records in a folder, batch by batch: records, block tables with fingerprints, counts of words and hosts, and the
-    first record of each repeat.
+    """The accepted records in a folder, by batch: records, block tables with fingerprints, counts of words and hosts, and the first
+    record of each repeat.
 
-    A batch is judged by the counts of what came before it and its own, never by later ones. Its parts are written to folders of
-    its number, so a batch that is taken again after a failure gives the same result and leaves the same history.
+    A batch is judged by the counts of what came before it and its own, never by later ones. All parts lie in folders of their
+    batch's number and are replaced as a whole, so a batch that is taken again after a failure gives the same result and leaves
+    the same history. Ids rise in the order of arrival, over batches too.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.schemas: dict[str, object] = {}
+    def __init__(self, spark: SparkSession, path: str, hot: int = HOT):
+        self.spark, self.path, self.hot_from = spark, path.rstrip("/"), hot
+        self.schemas: dict[str, StructType] = {}
+        self.hot: DataFrame | None = None
 
-    def _write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
+    def _write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{name}")
         self.schemas[name] = df.schema
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/{batch}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def _until(self, name: str, batch: int) -> DataFrame:
-        """What all batches up to ``batch`` have written."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        there = sorted(n for n in (int(x.getPath().getName()) for x in files.listStatus(root)) if n <= batch)
-        return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{name}/{n}" for n in there])
-
-    def accept(self, batch: int, records: DataFrame, accepted: bool = False, most: int = HOT) -> DataFrame | None:
-        """(first_id, dup_id) of the batch's repeats; the batch is appended. ``accepted``: it is taken as it is, without a look up.
-
-        records: id and DETAILS; ids rise in the order of arrival. A record's first is the first of the earliest record it matches,
-        and so on up. Exact copies in all details are repeats; only the first of them gets blocks. Records without any name and
-        contact match nothing; repeated ids are taken as one record; null ids are left out; an empty batch has no repeats.
-        """
+        """What the batches up to ``batch`` have: others' folders aren't read."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}").filter(F.col("batch") <= batch).drop("batch")
+
+    def _of(self, name: str, batch: int) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}").filter(F.col("batch") == batch).drop("batch")
+
+    def store(self, records: DataFrame) -> None:
+        """Writes what doesn't depend on other records: keyed records (id, batch, DETAILS) of one or more batches, their fingerprints in
+        the rotated tables, and their counts of words. Of exact copies in all details only the first gets blocks."""
         some = "id is not null and (size(words) > 0 or size(phones) > 0 or web is not null or size(mails) > 0)"
-        new = self._write("records", batch, records.filter(some).select("id", *DETAILS, F.xxhash64(*DETAILS).alias("same")).dropDuplicates(["id"]))
-        self._write("words", batch, B.word_counts(new))
-        common = B.common_words(self._until("words", batch))
-        known = B.classify(new, common)
-        self._write("hosts", batch, B.host_counts(known))
-        # Exact copies: of the batch, and of the history where it has some of the same hash.
-        firsts = new.groupBy("same").agg(F.min("id").alias("first"))
-        if not accepted:
-            earlier = self._until("records", batch - 1).select("same", "id").join(firsts.select("same"), "same", "left_semi") if batch else new.select("same", "id")
-            firsts = earlier.unionByName(new.select("same", "id")).groupBy("same").agg(F.min("id").alias("first"))
-        copies = cut_lineage(new.select("id", "same").join(firsts, "same").filter("first < id").select(F.col("id").alias("b"), F.col("first").alias("a")))
-        own = known.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
+        rows = cut_lineage(records.filter(some).select("id", F.col("batch").cast("int").alias("batch"), *DETAILS, F.xxhash64(*DETAILS).alias("same")).dropDuplicates(["id"]))
+        known = rows.select("same", "id")
+        if "records" in self.schemas:  # what is stored again takes the place of what there was
+            mine = rows.select("batch").distinct()
+            there = self.spark.read.schema(self.schemas["records"]).parquet(f"{self.path}/records").join(F.broadcast(mine), "batch", "left_anti")  # numbers of batches
+            known = known.unionByName(there.select("same", "id").join(rows.select("same").distinct(), "same", "left_semi"))
+        firsts = known.groupBy("same").agg(F.min("id").alias("first"))
+        stored = self._write("records", rows.join(firsts, "same").select("id", *DETAILS, "same", "first", "batch")).join(F.broadcast(rows.select("batch").distinct()), "batch")
+        self._write("words", B.word_counts(stored, "batch"))
         # The stored tables hold every host and name: what marks no business is left out on the side that looks up.
         hosts = F.array_distinct(F.array_compact(F.array("web", "mail_host")))
-        self._write("blocks", batch, B.entries(own.drop("stem").withColumns({"hosts": hosts, "own_mails": F.col("mails"), "chain": F.lit(False), "stem": F.col("words")})))
+        whole = stored.filter("id = first").withColumns({"hosts": hosts, "own_mails": F.col("mails"), "chain": F.lit(False), "stem": F.col("words")})
+        blocks = self._write("blocks", B.entries(whole, kept=("batch",)))
+        hot = cut_lineage(hot_blocks(blocks, self.hot_from))
+        self.hot = None if hot.isEmpty() else hot
+
+    def find(self, batch: int, accepted: bool = False) -> DataFrame | None:
+        """(first_id, dup_id) of a stored batch's repeats. ``accepted``: it is taken as it is, without a look up.
+
+        A record's first is the first of the earliest record it matches, and so on up. Records without any name and contact match
+        nothing; an empty batch has no repeats.
+        """
+        new = self._of("records", batch)
+        common = cut_lineage(B.common_words(self._until("words", batch)))
+        known = B.classify(new, common)
+        number = F.lit(batch).cast("int").alias("batch")
+        self._write("hosts", B.host_counts(known).select("*", number))
+        parents = new.filter("first < id").select(F.col("id").alias("b"), F.col("first").alias("a"))
         if accepted:
-            self._write("firsts", batch, copies)
+            self._write("firsts", parents.select("b", "a", number))
             return None
         kinds = cut_lineage(B.host_kinds(self._until("hosts", batch)))
-        looked = cut_lineage(B.entries(B.with_hosts(own, kinds)))
+        marks = B.with_hosts(known.filter("id = first"), kinds).select("id", "chain", (F.size("stem") > 0).alias("named"))
+        shared = kinds.filter("kind = 'platform'").select("host", F.lit(True).alias("platform"))
+        table = B.table_of(F.col("block"))
+        real = F.col("platform").isNull() & ~((table == B.WHOLE_HOSTS) & F.col("chain")) & ~((table == B.WHOLE_NAMES) & ~F.col("named"))
+        looked = cut_lineage(self._of("blocks", batch).join(marks, "id").join(shared, "host", "left").filter(real).select("id", "block", "lo", "hi"))
+        crowded = self.hot is not None and not looked.join(self.hot, "block", "left_semi").isEmpty()  # most hot blocks are of platforms
 
         def judge(pairs: DataFrame) -> DataFrame:
             met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            rows = self._until("records", batch).drop("same").join(met, "id", "left_semi")
+            rows = self._until("records", batch).select("id", *DETAILS).join(met, "id", "left_semi")
             full = cut_lineage(B.with_hosts(B.classify(rows, common), kinds).select("id", *B.FEATURES))
             return B.evidence(B.sides(pairs, full, full)).filter(B.same_business()).select("a", "b")
 
-        found = pairs_to_earlier(looked, self._until("blocks", batch), judge, most)
-        parents = found.groupBy("b").agg(F.min("a").alias("a")).unionByName(copies.select("b", "a"))
-        if self.schemas.get("firsts"):
-            up = self._until("firsts", batch - 1).select(F.col("b").alias("a"), F.col("a").alias("top"))
-            parents = parents.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("a"))
-        return self._write("firsts", batch, first_of(parents)).select(F.col("a").alias("first_id"), F.col("b").alias("dup_id"))
-
-
-def repeats(records: DataFrame, batch: str = "batch") -> DataFrame:
-    """(first_id, dup_id) of all records of batch 1 and later that repeat an earlier one: the batches are accepted one by one."""
-    history = History(records.sparkSession, scratch_dir(records.sparkSession, "history"))
-    rows = cut_lineage(records.select("id", batch, *DETAILS))
-    history.accept(0, rows.filter(F.col(batch) <= 0), accepted=True)
-    out = rows.select(F.col("id").alias("first_id"), F.col("id").alias("dup_id")).limit(0)
-    for r in rows.filter(F.col(batch) > 0).select(batch).distinct().orderBy(batch).collect():  # the numbers of batches
-        out = out.unionByName(history.accept(int(r[0]), rows.filter(F.col(batch) == r[0])))
+        found = pairs_to_earlier(looked, self._until("blocks", batch), judge, self.hot if crowded else None, self.hot_from)
+        parents = found.groupBy("b").agg(F.min("a").alias("a")).unionByName(parents)
+        # What the parent is in an earlier batch is known; within the batch pointers are doubled until none moves.
+        up = self._until("firsts", batch - 1).select(F.col("b").alias("a"), F.col("a").alias("top"))
+        now = cut_lineage(parents.join(up, "a", "left").select("b", F.coalesce("top", "a").alias("a")))
+        while not (moving := now.join(now.select(F.col("b").alias("a"), F.col("a").alias("top")), "a")).isEmpty():
+            now = cut_lineage(now.join(moving.select("b", "top"), "b", "left").select("b", F.coalesce("top", "a").alias("a")))
+        self._write("firsts", now.select("b", "a", number))
+        return self._of("firsts", batch).select(F.col("a").alias("first_id"), F.col("b").alias("dup_id"))
+
+    def accept(self, batch: int, records: DataFrame, accepted: bool = False) -> DataFrame | None:
+        """Stores a batch and finds its repeats."""
+        self.store(records.drop("batch").withColumn("batch", F.lit(batch)))
+        return self.find(batch, accepted)
+
+
+def repeats(records: DataFrame, hot: int = HOT) -> DataFrame:
+    """(first_id, dup_id) of all records (id, batch, DETAILS) of batch 1 and later that repeat an earlier one.
+
+    The batches go through the history one by one, in their order; only what is each record's own is made for all at once.
+    """
+    history = History(records.sparkSession, scratch_dir(records.sparkSession, "history"), hot)
+    history.store(records.withColumn("batch", F.greatest("batch", F.lit(0))))
+    history.find(0, accepted=True)
+    out = records.select(F.col("id").alias("first_id"), F.col("id").alias("dup_id")).limit(0)
+    for r in records.filter("batch > 0").select("batch").distinct().orderBy("batch").collect():  # the numbers of batches
+        out = out.unionByName(history.find(int(r[0])))
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.operators.packed_cells import CRITERIA_FIELDS, split_cells
-from leadloom.shared import table
+from leadloom.shared import cut_lineage, table
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of batches 1 and later that repeat a row accepted before."""
     from leadloom.llm.history import ledger_records, repeats
 
-    return repeats(ledger_records(table(spark, sf_dir, "permanent_leads"))).select(F.col("first_id").cast("int").alias("first_id"), F.col("dup_id").cast("int").alias("dup_id"))
+    return repeats(cut_lineage(ledger_records(table(spark, sf_dir, "permanent_leads")))).select(F.col("first_id").cast("int").alias("first_id"), F.col("dup_id").cast("int").alias("dup_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leadloom.llm import business as B
 from leadloom.llm.address import parsed, place_classes, same_places
 from leadloom.llm.canon import LEAST, _tokens, canon_names, map_values, match_values
-from leadloom.llm.candidates import pairs_between, pairs_to_earlier
+from leadloom.llm.candidates import hot_blocks, pairs_between, pairs_to_earlier
 from leadloom.llm.history import History, features, repeats
 from leadloom.llm.linkage import LabelModel, link
 from leadloom.llm.subjects import Matcher, assign_subjects, best_threshold, hits_of, levels, sentences
@@ -64,6 +64,16 @@ def test_repeats_come_batch_by_batch(spark, tmp_path):
     assert repeats(records(spark, BASE + NEW).limit(0)).count() == 0
 
 
+def test_batches_at_once_and_one_by_one_agree(spark, tmp_path):
+    rows = [(100 * n + r[0], *r[1:-1], True) for n in (1, 2, 3) for r in BASE + NEW]
+    whole = records(spark, BASE + rows).withColumn("batch", F.floor(F.col("id") / 100).cast("int"))
+    want = {(r.first_id, r.dup_id) for r in repeats(whole).collect()}
+    assert want == {(r.first_id, r.dup_id) for r in repeats(whole, hot=2).collect()}  # the size of hot blocks changes nothing
+    history = History(spark, f"file://{tmp_path}/h")
+    history.accept(0, whole.filter("batch = 0"), accepted=True)
+    assert want == {(r.first_id, r.dup_id) for n in (1, 2, 3) for r in history.accept(n, whole.filter(f"batch = {n}")).collect()}
+
+
 def test_a_batch_reads_no_texts_of_the_whole_history(spark, tmp_path):
     history = History(spark, f"file://{tmp_path}/h")
     history.accept(0, records(spark, BASE), accepted=True)
@@ -71,9 +81,8 @@ def test_a_batch_reads_no_texts_of_the_whole_history(spark, tmp_path):
     real = history._until
     history._until = lambda name, batch: seen.append(name) or real(name, batch)
     history.accept(1, records(spark, NEW))
-    assert seen.count("records") == 2  # the hashes of exact copies, and the rows of the pairs that are left
-    stored = spark.read.parquet(f"file://{tmp_path}/h/blocks/0")
-    assert stored.columns == ["id", "block", "lo", "hi"]
+    assert seen.count("records") == 1  # the rows of the pairs that are left
+    assert set(spark.read.parquet(f"file://{tmp_path}/h/blocks").columns) == {"id", "block", "lo", "hi", "host", "batch"}
 
 
 def test_one_error_changes_few_bits(spark):
@@ -90,7 +99,7 @@ def judge_of(full):
 def test_copies_in_a_hot_block_are_all_linked(spark):
     rows = [(i, "Zetopogu Climate", "+1 555 010 0199", f"zetopogu.example/{i}", f"x{i}@mailnook.example", i > 0) for i in range(60)]
     full = features(records(spark, rows)).cache()
-    few = pairs_to_earlier(B.entries(full.filter("is_new")), B.entries(full), judge_of(full), most=5)
+    few = pairs_to_earlier(B.entries(full.filter("is_new")), B.entries(full), judge_of(full), hot_blocks(B.entries(full), 5), most=5)
     linked = {r.b for r in few.collect()}
     assert linked == set(range(1, 60)) and few.count() < 60 * 59 / 2
 
@@ -107,8 +116,8 @@ def crowd(n=14):
 def test_each_row_of_a_hot_block_finds_its_first(spark):
     rows, want = crowd()
     full = features(records(spark, rows)).cache()
-    for most in (5, 10**6):
-        found = pairs_to_earlier(B.entries(full.filter("is_new")), B.entries(full), judge_of(full), most).groupBy("b").agg(F.min("a").alias("a"))
+    for hot in (hot_blocks(B.entries(full), 5), None):
+        found = pairs_to_earlier(B.entries(full.filter("is_new")), B.entries(full), judge_of(full), hot, 5).groupBy("b").agg(F.min("a").alias("a"))
         assert {(r.a, r.b) for r in found.collect()} == want
 
 
