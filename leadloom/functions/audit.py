@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.reviews import is_json
+
 # Signs, providers, weights.
 BLOCK_SIGNS = (
     "country blocked", "access denied", "attention required", "checking your browser", "just a moment", "cf-error-details", "please verify you are a human",
@@ -198,7 +200,7 @@ def jsonld_nodes(data: Column) -> Column:
     """The objects of a JSON-LD text: of its @graph, of a list, or itself, each as JSON; empty for what is no JSON."""
     text = F.trim(data)
     graph = F.get_json_object(text, "$.@graph")
-    listed = F.when(F.try_parse_json(text).isNull(), F.array().cast("array<string>")).when(graph.startswith("["), F.from_json(graph, "array<string>")).when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), F.array(text))
+    listed = F.when(~is_json(text), F.array().cast("array<string>")).when(graph.startswith("["), F.from_json(graph, "array<string>")).when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), F.array(text))
     return F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda n: F.trim(n).startswith("{"))
 
 

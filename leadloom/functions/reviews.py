@@ -19,6 +19,12 @@ BLOB_COLUMNS = ("user_reviews_extended", "user_reviews", "reviews", "reviews_dat
 STARS, KEPT, CHARACTERS = 3, 5, 400
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing more. The parser stops behind the first value, so the text is put into a list
+    and into an object: what follows a value breaks one of them."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+
+
 def _literal(text: pd.Series) -> pd.Series:
     """Python literals of a list or mapping as JSON, null for what is none."""
 
@@ -42,7 +48,7 @@ def reviews(c: Column, literals: bool = True) -> Column:
     """
     text = F.trim(c)
     elements = lambda t: F.coalesce(F.from_json(t, "array<string>"), F.when(t.startswith("{"), F.array(t)))
-    good = F.try_parse_json(text).isNotNull()
+    good = is_json(text)
     found = F.when(good & text.rlike(r"^[\[{]"), elements(text))
     if literals:
         other = F.pandas_udf(_literal, "string")(F.when(~good & text.rlike(r"^[\[{]"), text))

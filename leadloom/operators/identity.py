@@ -18,6 +18,11 @@ def _keyed(c: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
+def _spread(c: str, by: str) -> Column:
+    """The key, and for rows without one a thousand keys that no row of the other side has: they aren't sent to one task."""
+    return F.when(_keyed(c), F.col(c).cast("string")).otherwise(F.concat(F.lit("\x00"), F.pmod(F.xxhash64(by), F.lit(1000))))
+
+
 def first_by_keys(df: DataFrame, keys: Sequence[str], order: str, keep: str = "first") -> DataFrame:
     """Rows that aren't preceded (followed, for ``keep='last'``) by one with the same value in any of the keys.
 
@@ -27,8 +32,8 @@ def first_by_keys(df: DataFrame, keys: Sequence[str], order: str, keep: str = "f
     pick = F.min if keep == "first" else F.max
     out = df
     for k in keys:
-        best = df.filter(_keyed(k)).groupBy(F.col(k).alias(f"_{k}")).agg(pick(order).alias("_best"))
-        out = out.join(best, F.col(k) == F.col(f"_{k}"), "left").filter(F.col("_best").isNull() | (F.col("_best") == F.col(order))).drop(f"_{k}", "_best")
+        best = df.filter(_keyed(k)).groupBy(F.col(k).cast("string").alias(f"_{k}")).agg(pick(order).alias("_best"))
+        out = out.join(best, _spread(k, order) == F.col(f"_{k}"), "left").filter(F.col("_best").isNull() | (F.col("_best") == F.col(order))).drop(f"_{k}", "_best")
     return out
 
 

@@ -284,3 +284,12 @@ def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags as text, and the labels of those that are false."""
     return table(spark, sf_dir, "audited_leads").select("lead_id", *[T.fmt_flag(F.col(f)).alias(f) for f in ("has_chatbot", "has_whatsapp", "ssl_valid")], F.array_join(T.gap_labels(), ", ").alias("gaps"))
+
+
+@query(f"""
+    WITH {_ISSUES}, f AS (SELECT lead_id, severity, min(i) AS i FROM s GROUP BY 1, 2) SELECT lead_id, string_agg(severity, '; ' ORDER BY i) AS reasons FROM f GROUP BY 1
+""")
+def distinct_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reason once, in the order of its first mention."""
+    found = T.parse_issues(F.col("top_issues"))["severity"]
+    return table(spark, sf_dir, "audited_leads").select("lead_id", F.array_join(F.array_distinct(found), "; ").alias("reasons")).filter("reasons <> ''")

@@ -37,7 +37,7 @@ def test_reviews(spark):
     assert one(spark, blob, found) == ["(2★) bad thing", "(2.5★) meh"]
     assert one(spark, "[{'rating': 1, 'text': \"it's off\"}]", found) == ["(1★) it's off"]
     assert one(spark, '{"rating": 1, "text": "single"}', found) == ["(1★) single"]
-    for nothing in (None, "", " ", "[", "{'a'", "plain"):
+    for nothing in (None, "", " ", "[", "{'a'", "plain", '[{"rating": 1, "text": "x"}]\n===', '[{"rating": 1, "text": "x"}] ]'):
         assert one(spark, nothing, found) == []
     assert one(spark, "x", lambda _: R.negative_reviews(F.array(*[F.lit(str(i)) for i in range(7)]))) == "0 | 1 | 2 | 3 | 4 | ...(+2 more)"
 
