@@ -112,3 +112,19 @@ def is_junk_email(e: Column) -> Column:
 
 def is_valid_email(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(f"^{EMAIL}$"), F.lit(False))
+
+
+#: A phone-shaped piece of a text (a fixed pattern).
+PHONE = r"(?<![\d.])(\+?\d{1,3}[\s.-]?)?\(?\d{2,5}\)?[\s.-]?\d{3,5}[\s.-]?\d{3,5}(?![\d.])"
+
+
+def phone_shapes(c: Column) -> Column:
+    """The phone-shaped pieces of a text, in order. None is part of a longer chain of digits and dots, as an address of a machine or
+    the number of a version are."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(PHONE), 0)
+
+
+def found_email(given: Column, home: Column, contact_page: Column) -> Column:
+    """The address given, else the first of the home page, else the first of the contact page; '' without one."""
+    first = lambda html: F.get(F.filter(emails_in_text(html), lambda e: ~is_junk_email(e)), F.lit(0))
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), first(home), first(contact_page), F.lit(""))

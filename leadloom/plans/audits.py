@@ -345,3 +345,21 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = F.array(F.lit("https://facebook.com/p?ref=1"), F.lit("https://facebook.com/sharer?u=1"), F.when(n % 3 == 0, "https://www.instagram.com/q").otherwise("https://notfacebook.com/z"))
     rows = table(spark, sf_dir, "audited_leads").select("lead_id", own.alias("own"), net.alias("net"))
     return rows.select("lead_id", F.array_join(P.internal_links(F.col("own"), F.lit("www.me.example")), ",").alias("internal"), F.array_join(P.social_links(F.col("net"), A.SOCIAL_HOSTS), ",").alias("social"))
+
+
+@query(r"""
+    SELECT lead_id, regexp_extract(' ' || coalesce(phone, '') || ' ', '[^\d.]((\+?\d{1,3}[\s.-]?)?\(?\d{2,5}\)?[\s.-]?\d{3,5}[\s.-]?\d{3,5})[^\d.]', 1) AS phone FROM audited_leads
+""")
+def phone_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phone-shaped piece of a cell."""
+    return table(spark, sf_dir, "audited_leads").select("lead_id", F.coalesce(F.get(C.phone_shapes(F.col("phone")), F.lit(0)), F.lit("")).alias("phone"))
+
+
+@query("""
+    SELECT lead_id, CASE lead_id % 3 WHEN 0 THEN 'own@firm.test' WHEN 1 THEN 'home@firm.co' ELSE 'desk@firm.co' END AS email FROM audited_leads
+""")
+def enriched_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address of a row, its home page, or its contact page, in this order; junk passed over."""
+    n = F.col("lead_id")
+    home = F.when(n % 3 == 1, "write to noreply@example.com or HOME@firm.co").otherwise("<p>none</p>")
+    return table(spark, sf_dir, "audited_leads").select("lead_id", C.found_email(F.when(n % 3 == 0, "own@firm.test"), home, F.lit("logo@2x.png desk@firm.co")).alias("email"))
