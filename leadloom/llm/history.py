@@ -8,6 +8,10 @@ pairs that are left only. Then the batch's records, fingerprints and counts are
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +37,21 @@ def ledger_records(leads: DataFrame) -> DataFrame:
     return B.prepare(leads, "i_d", "business_name", ["phone"], "website", "email").join(flags, "id")
 
 
+@contextmanager
+def _long_loop(spark: SparkSession) -> Iterator[None]:
+    """For a driver that runs many jobs in turn: the plans' texts it keeps are cut short, and when a turn is over its garbage is
+    collected, so that the shuffle files of finished jobs are removed from the executors' disks."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 class History:
     """The accepted records in a folder, by batch: records, block tables with fingerprints, counts of words and hosts, and the first
     record of each repeat.
@@ -130,9 +149,11 @@ def repeats(records: DataFrame, hot: int = HOT) -> DataFrame:
     The batches go through the history one by one, in their order; only what is each record's own is made for all at once.
     """
     history = History(records.sparkSession, scratch_dir(records.sparkSession, "history"), hot)
-    history.store(records.withColumn("batch", F.greatest("batch", F.lit(0))))
-    history.find(0, accepted=True)
+    with _long_loop(records.sparkSession):
+        history.store(records.withColumn("batch", F.greatest("batch", F.lit(0))))
+        history.find(0, accepted=True)
     out = records.select(F.col("id").alias("first_id"), F.col("id").alias("dup_id")).limit(0)
     for r in records.filter("batch > 0").select("batch").distinct().orderBy("batch").collect():  # the numbers of batches
-        out = out.unionByName(history.find(int(r[0])))
+        with _long_loop(records.sparkSession):
+            out = out.unionByName(history.find(int(r[0])))
     return out
