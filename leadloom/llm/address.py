@@ -27,9 +27,11 @@ COUNTRIES = "india|bharat|usa|u s a|united states(?: of america)?|uk|u k|united
 KIND = "|".join(KINDS.values())
 WAY = "|".join(WAYS.values())
 NUMBER = r"\d{1,4}[a-z]?"
-#: Rows from which a word group between commas is taken for a name; a name this many times rarer than one a typing error away is
-#: that one misspelled.
+#: Different addresses from which a word group between commas is taken for a name; a name this many times rarer than one a typing
+#: error away is that one misspelled.
 NAME_ROWS, MISSPELLED = 8, 10
+#: A name so many times rarer than another that it stands beside tells nothing about that.
+TOO_RARE = 50
 #: An area's name stands beside at least so many others, none in more than this share; a town's beside one region in this share.
 AREA_BESIDE, AREA_TOP, TOWN_TOP = 4, 0.35, 0.95
 #: The share of the poorer side's weight that two addresses without a known town must share.
@@ -98,6 +100,12 @@ def _near(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= 5) & (d >= 0) & (d <= 2)
 
 
+def _shortened(c: str) -> Column:
+    """A name as it is and with its first word in each of its short forms: typing errors are made in these too."""
+    forms = [F.when(F.startswith(F.col(c), F.lit(f"{long} ")), F.concat(F.lit(short), F.substring(c, len(long) + 1, 1000))) for short, long in SHORT.items()]
+    return F.array_compact(F.array(F.col(c), *forms))
+
+
 def _runs_of_words(c: str) -> Column:
     """All runs of up to four words."""
     words = F.split(c, " ")
@@ -110,21 +118,27 @@ def gazetteer(lefts: DataFrame) -> DataFrame:
     null where the name is none's. rows: how many addresses have the name, rightly spelled.
 
     An area's name occurs beside many towns' and regions', so none takes a large share there. Of the others, a region's stands
-    beside several towns', a town's always beside the same region's or none. All are tables, counted over all addresses; no
-    number depends on how many there are. lefts: left, n (rows).
+    beside several towns', a town's always beside the same region's or none. All are tables, counted over all addresses, of which repeated
+    ones count once. What is a piece, a run or a misspelling of a name is told by which is the rarer, so that names remain what they
+    are in large tables, where any damage has many rows. lefts: left, n (different addresses).
     """
     parts = lefts.select("left", "n", F.explode(F.array_distinct(F.filter(F.split("left", ", "), lambda p: (p != "") & ~p.rlike(r"\d")))).alias("name"))
     often = cut_lineage(parts.groupBy("name").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= NAME_ROWS))
-    # Groups run together without commas hold other names.
-    inner = often.select("name", F.explode(_runs_of_words("name")).alias("run")).filter("run <> name").join(often.select(F.col("name").alias("run")), "run", "left_semi").select("name").distinct()
+    # Of a group and a run of its words the rarer is none: it is several names without commas, or a piece of the name.
+    within = often.select("name", "rows", F.explode(_runs_of_words("name")).alias("run")).filter("run <> name").join(often.select(F.col("name").alias("run"), F.col("rows").alias("run_rows")), "run")
+    inner = within.select(F.when(F.col("run_rows") >= F.col("rows"), F.col("name")).otherwise(F.col("run")).alias("name")).distinct()
     # A rare name a typing error away from a frequent one is that one.
-    some = often.join(inner, "name", "left_anti").select("name", "rows", F.explode(_without_a_letter("name")).alias("key"))
-    x, y = some.alias("x"), some.alias("y")
-    wrong = x.join(y, F.col("x.key") == F.col("y.key")).filter((F.col("x.rows") * MISSPELLED <= F.col("y.rows")) & _near(F.col("x.name"), F.col("y.name"))).groupBy("x.name").agg(F.max_by("y.name", "y.rows").alias("right"))
+    some = cut_lineage(often.join(inner, "name", "left_anti"))
+    x = some.select("name", "rows", F.explode(_without_a_letter("name")).alias("key")).alias("x")
+    y = some.select("name", "rows", F.explode(_shortened("name")).alias("form")).select("*", F.explode(_without_a_letter("form")).alias("key")).alias("y")
+    rarer = (F.col("x.rows") * MISSPELLED <= F.col("y.rows")) & _near(F.col("x.name"), F.col("y.form"))
+    wrong = x.join(y, F.col("x.key") == F.col("y.key")).filter(rarer).groupBy("x.name").agg(F.max_by("y.name", F.struct("y.rows", "y.name")).alias("right"))
     names = cut_lineage(often.select("name").join(inner, "name", "left_anti").join(wrong, "name", "left").select("name", F.coalesce("right", "name").alias("right")))
     known = parts.join(names, "name").groupBy("left", "n").agg(F.collect_set("right").alias("names")).filter("size(names) > 1")  # an address has few parts
     beside = known.select("n", "names", F.explode("names").alias("name")).select("name", "n", F.explode("names").alias("other")).filter("name <> other")
-    beside = cut_lineage(beside.groupBy("name", "other").agg(F.sum("n").alias("n")))
+    of = lambda c: often.select(F.col("name").alias(c), F.col("rows").alias(f"{c}_rows"))
+    beside = beside.groupBy("name", "other").agg(F.sum("n").alias("n")).join(of("name"), "name").join(of("other"), "other")
+    beside = cut_lineage(beside.filter(F.col("other_rows") * TOO_RARE >= F.col("name_rows")).select("name", "other", "n"))
     top = lambda df: df.groupBy("name").agg(F.count("*").alias("others"), F.max("n").alias("top"), F.sum("n").alias("sum"))
     wide = cut_lineage(top(beside).filter((F.col("others") >= AREA_BESIDE) & (F.col("top") < AREA_TOP * F.col("sum"))).select("name"))
     among = beside.join(wide.select(F.col("name").alias("other"), F.lit(1).alias("is_wide")), "other", "left").groupBy("name").agg((F.sum(F.when(F.col("is_wide") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("inside"))
@@ -167,7 +181,7 @@ def _only(values: str) -> Column:
 def by_postcode(places: DataFrame) -> DataFrame:
     """Towns left out are filled in from the first three characters of the postcode, where nearly all addresses with them agree."""
     places = places.withColumn("area", F.left("post", F.lit(3)))
-    seen = places.filter("town is not null and area is not null").groupBy("area", "town").count()
+    seen = places.filter("town is not null and area is not null").select("area", "town", "number", "w", "street").distinct().groupBy("area", "town").count()
     sure = seen.groupBy("area").agg(F.max_by("town", "count").alias("area_town"), F.max("count").alias("top"), F.sum("count").alias("n"))
     sure = sure.filter("n >= 5 and top >= 0.95 * n").select("area", "area_town")
     return places.join(sure, "area", "left").withColumn("town", F.coalesce("town", "area_town")).drop("area", "area_town")
@@ -208,7 +222,7 @@ def place_classes(df: DataFrame, key: str = "lead_id", address: str = "address")
     Addresses that are equal once reduced form a class, compared once. An empty table gives empty results.
     """
     places = cut_lineage(parsed(df.filter(F.col(key).isNotNull() & F.col(address).isNotNull()), key, address))
-    lefts = cut_lineage(places.groupBy("left").agg(F.count("*").alias("n")))
+    lefts = cut_lineage(places.drop("id").distinct().groupBy("left").agg(F.count("*").alias("n")))
     where = located(lefts, cut_lineage(gazetteer(lefts)))
     number = lambda c, names: F.when(F.col(c).isNotNull(), F.array_position(in_array(names), F.col(c)).cast("int"))
     found = places.join(where, "left", "left").select("id", "number", F.coalesce("way", F.lit("")).alias("w"), "street", number("kind", list(KINDS)).alias("kind"), "post", F.xxhash64("town").alias("town_hash"), "town", "rest")

@@ -241,6 +241,15 @@ def test_places_of_unknown_towns_share_their_rare_words(spark):
     assert member.count() == 8 and set(member.columns) == {"id", "class"}
 
 
+def test_names_of_towns_do_not_depend_on_repeated_rows_or_much_damage(spark):
+    fill = [(1000 + i, f"{i} Quenuham Street, Saint Almond") for i in range(1, 120)]
+    pair = [(1, "5 Elmworth Street, Saint Almond"), (2, "5 Elmworth St, Stt Almond")]
+    damaged = [(2000 + i, f"{i} Birkmore Street, {t}") for i in range(1, 12) for t in ("Stt Almond", "Saint")]
+    for rows in (fill + pair, [(k * 10_000 + i, a) for k in range(10) for i, a in fill + pair], fill + pair + [(i * 2 + j % 2, a) for j, (i, a) in enumerate(damaged)]):
+        df = spark.createDataFrame(rows, "lead_id bigint, address string")
+        assert {(r.a, r.b) for r in same_places(df).collect() if r.b < 1000} == {(1, 2)}
+
+
 def test_thresholds(spark):
     level, true = np.array([3.0, 2.0, 1.0, 0.5]), np.array([True, True, False, False])
     assert best_threshold(level, true) == 1.5 and best_threshold(level[:0], true[:0]) == 0.0 and best_threshold(level, ~true | true) == 0.25
