@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leadloom.functions.reviews import TEXT_KEYS
 from leadloom.llm.subject_terms import FIGURES, PASSING, TERMS
@@ -27,8 +28,6 @@ from leadloom.shared import cut_lineage
 
 #: The share of sentences from which a subject counts.
 SHARE = 0.2
-#: At most so many labelled rows are used to fit the thresholds, drawn by a hash of doc_id.
-LABELLED = 20_000
 #: A sentence counts for every subject whose score is at least this share of the sentence's highest.
 BESIDE = 0.8
 #: A subject with fewer labels than this keeps the threshold fitted for all subjects together.
@@ -283,16 +282,32 @@ def best_threshold(level: np.ndarray, true: np.ndarray, missed: int = 0) -> floa
     return float((level[at] + (level[at + 1] if at + 1 < len(level) else 0.0)) / 2)
 
 
-def calibrate(found: DataFrame, labels: DataFrame, bound: int = LABELLED) -> dict[str, float]:
-    """A threshold for each subject from the levels of labelled rows, of which at most ``bound`` are used. A subject of few labels
-    has the one fitted for all."""
-    clean = labels.select("doc_id", F.regexp_replace(F.lower(F.trim("subject")), "[^a-z]+", "_").alias("subject")).filter("doc_id is not null and subject is not null").distinct()
-    some = cut_lineage(clean.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(bound))
-    rows = found.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")  # at most ``bound`` ids
-    rows = rows.join(some.withColumn("true", F.lit(True)), ["doc_id", "subject"], "full").select("subject", "level", F.coalesce("true", F.lit(False)).alias("true")).toPandas()
-    fit = lambda x: best_threshold(x.level.dropna().to_numpy(), x.true[x.level.notna()].to_numpy(), int(x.level.isna().sum()))
-    out = dict.fromkeys(matcher().subjects, fit(rows) if len(rows) else 0.0)
-    return out | {s: fit(x) for s, x in rows.groupby("subject") if s in out and x.true.sum() >= OWN_LABELS}
+def calibrate(found: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """A threshold for each subject from the levels of all labelled rows, by the rule of best_threshold. A subject of few labels has
+    the one fitted for all. Levels are ranked by range partitions and their sums, so that no subject is a single task's; what comes
+    to the driver is a threshold for each subject."""
+    clean = cut_lineage(labels.select("doc_id", F.regexp_replace(F.lower(F.trim("subject")), "[^a-z]+", "_").alias("subject")).filter("doc_id is not null and subject is not null").distinct())
+    rows = found.join(clean.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = rows.join(clean.withColumn("true", F.lit(1)), ["doc_id", "subject"], "full").select("subject", "level", F.coalesce("true", F.lit(0)).alias("true"))
+    both = rows.select(F.explode(F.array("subject", F.lit("*"))).alias("of"), "level", "true")  # * is all subjects together
+    counted = cut_lineage(both.groupBy("of", "level").agg(F.count("*").alias("n"), F.sum("true").alias("true")))
+    labelled = counted.groupBy("of").agg(F.sum("true").alias("labels"))  # those without a level too
+    parts = counted.filter("level is not null").repartitionByRange("of", F.desc("level")).withColumn("part", F.spark_partition_id())
+    parts = cut_lineage(parts)
+    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("of", "part").agg(F.sum("n").alias("n"), F.sum("true").alias("true"))  # one row per subject and partition
+    sums = sums.select("of", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "true")])
+    upto = Window.partitionBy("of", "part").orderBy(F.desc("level"))
+    ranked = parts.select("of", "part", "level", F.sum("n").over(upto).alias("n"), F.sum("true").over(upto).alias("true")).join(sums, ["of", "part"]).join(labelled, "of")
+    f1 = 2 * (F.col("true") + F.col("true_before")) / (F.col("n") + F.col("n_before") + F.col("labels"))
+    ranked = cut_lineage(ranked.select("of", "level", "labels", f1.alias("f1")))
+    best = ranked.filter("labels > 0").groupBy("of").agg(F.max("f1").alias("best"))
+    least = ranked.join(best, "of").filter(F.col("f1") >= F.col("best") - 1e-12).groupBy("of").agg(F.min("level").alias("least"))
+    below = parts.join(least, "of").filter("level < least").groupBy("of").agg(F.max("level").alias("below"))
+    fitted = labelled.join(least, "of", "left").join(below, "of", "left").select("of", "labels", F.coalesce((F.col("least") + F.coalesce("below", F.lit(0.0))) / 2, F.lit(0.0)).alias("threshold"))
+    fit = {r.of: r for r in fitted.filter(F.col("of").isin("*", *matcher().subjects)).collect()}
+    every = fit["*"].threshold if "*" in fit else 0.0
+    return {s: fit[s].threshold if s in fit and fit[s].labels >= OWN_LABELS else every for s in matcher().subjects}
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,7 +315,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame | None = None, key: str =
 
     Null, empty and blank texts and texts without a subject have no rows. Repeated rows are assigned each for itself. ``labels``
     (doc_id, subject) fit the thresholds; without them every level counts. Other columns aren't read. An empty table gives an
-    empty result. Whole texts are read, once; the only shuffles are of term counts and of levels of labelled rows.
+    empty result. Whole texts are read, once; the only shuffles are of term counts and, to fit on all labels, of levels and labels.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     hits = hits_of(docs)

@@ -8,7 +8,7 @@ from leadloom.llm.canon import LEAST, _tokens, canon_names, map_values, match_va
 from leadloom.llm.candidates import hot_blocks, pairs_between, pairs_to_earlier
 from leadloom.llm.history import History, features, repeats
 from leadloom.llm.linkage import LabelModel, link
-from leadloom.llm.subjects import Matcher, assign_subjects, best_threshold, hits_of, levels, sentences
+from leadloom.llm.subjects import OWN_LABELS, Matcher, assign_subjects, best_threshold, calibrate, hits_of, levels, sentences
 
 
 @pytest.mark.parametrize(
@@ -255,6 +255,22 @@ def test_thresholds(spark):
     assert best_threshold(level, true) == 1.5 and best_threshold(level[:0], true[:0]) == 0.0 and best_threshold(level, ~true | true) == 0.25
 
 
+def test_thresholds_are_fitted_on_all_labels(spark):
+    r = np.random.default_rng(3)
+    subjects = Matcher().subjects[:3]
+    rows = [(d, s, float(round(abs(r.normal()) + 0.8 * (d % 3 == k), 4))) for d in range(25_000) for k, s in enumerate(subjects) if (d + k) % 4]
+    truth = [(d, subjects[d % 3].replace("_", " ").upper()) for d in range(24_000)] + [(30_000 + d, subjects[2]) for d in range(OWN_LABELS - 1)]
+    found, labels = spark.createDataFrame(rows, "doc_id bigint, subject string, level double"), spark.createDataFrame(truth, "doc_id bigint, subject string")
+    got = calibrate(found.repartition(7), labels)
+    seen = [(s, lv, s == subjects[d % 3]) for d, s, lv in rows if d < 24_000]
+    level_of = {(d, s) for d, s, _ in rows}
+    missed = [s for d in range(24_000) if (d, s := subjects[d % 3]) not in level_of] + [subjects[2]] * (OWN_LABELS - 1)
+    fit = lambda some: best_threshold(np.array([lv for s, lv, _ in seen if s in some]), np.array([t for s, _, t in seen if s in some]), sum(s in some for s in missed))
+    assert got == {s: pytest.approx(fit({s} if s in subjects else set(subjects)), abs=1e-12) for s in Matcher().subjects}
+    few = calibrate(found.filter("doc_id < 60"), labels.filter("doc_id < 60"))
+    assert len(set(few.values())) == 1 and calibrate(found, labels.limit(0)) == dict.fromkeys(Matcher().subjects, 0.0)
+
+
 def test_levels_are_those_a_fifth_of_sentences_reach(spark):
     docs = spark.createDataFrame([(1, "The boiler. See you. See you. See you. See you."), (2, "The boiler. " + "See you. " * 5), (3, "The boiler and the brakes. The boiler.")], "doc_id bigint, text string")
     hits = hits_of(docs)
