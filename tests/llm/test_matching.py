@@ -85,6 +85,27 @@ def test_a_batch_reads_no_texts_of_the_whole_history(spark, tmp_path):
     assert set(spark.read.parquet(f"file://{tmp_path}/h/blocks").columns) == {"id", "block", "lo", "hi", "host", "batch"}
 
 
+def test_all_batches_are_looked_up_in_one_pass(spark, monkeypatch):
+    whole = records(spark, BASE + [(100 * n + r[0], *r[1:-1], True) for n in (1, 2, 3) for r in NEW]).withColumn("batch", F.floor(F.col("id") / 100).cast("int"))
+    seen, real = [], History._until
+    monkeypatch.setattr(History, "_until", lambda self, name, batch: seen.append(name) or real(self, name, batch))
+    assert {(1, 111), (1, 211), (1, 311)} <= {(r.first_id, r.dup_id) for r in repeats(whole).collect()}
+    assert seen.count("blocks") == 1 and seen.count("records") == 1
+
+
+def test_kinds_by_batch_are_those_of_the_batches_before(spark):
+    r = np.random.default_rng(5)
+    words = [(f"w{int(r.integers(6))}", int(r.integers(12)), int(r.integers(1, 4)), int(b)) for b in r.integers(0, 5, 150)]
+    hosts = [(f"h{int(r.integers(7))}", int(r.integers(2)), int(r.integers(3 + 3 * (k % 7))), int(r.integers(1, 30)), int(b)) for k, b in enumerate(r.integers(0, 5, 400))]
+    hosts += [("page", 0, 100 + i, 1, i % 5) for i in range(40)] + [("page", 1, 100 + i, 1, i % 5) for i in range(40)]
+    words, hosts = spark.createDataFrame(words, "w string, host bigint, n bigint, batch int"), spark.createDataFrame(hosts, "host string, what int, value bigint, n bigint, batch int")
+    common, kinds = B.common_words_by_batch(words).collect(), B.host_kinds_by_batch(hosts).collect()
+    for n in range(5):
+        assert sorted(x.w for x in common if x.since <= n <= x.until) == sorted(x.w for x in B.common_words(words.filter(f"batch <= {n}")).collect())
+        assert sorted((x.host, x.kind) for x in kinds if x.since <= n <= x.until) == sorted((x.host, x.kind) for x in B.host_kinds(hosts.filter(f"batch <= {n}")).collect())
+    assert common and {x.kind for x in kinds} == {"platform", "chain"}
+
+
 def test_one_error_changes_few_bits(spark):
     rows = [(1, "Zetopogu Climate", "+1 555 010 0199", None, None, True), (2, "Zetopogu Climate", "+1 555 010 0139", None, None, True), (3, "Zetoqogu Climate", "+1 555 010 0199", None, None, True), (4, "Vabilemo Drains", "+1 802 334 7621", None, None, True)]
     fp = {r.id: (r.lo, r.hi) for r in B.entries(features(records(spark, rows))).collect()}
